@@ -38,7 +38,7 @@ def write_and_reread(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df, in bytes (of Parquet files: of the columns read)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def ascii_lower(text: Column) -> Column:

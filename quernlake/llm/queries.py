@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, token_output
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op10_token_output": token_output.op10_token_output,
 }
 ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
