@@ -2,8 +2,8 @@
 
 Every input task is a memtable: it sorts the digests of its documents and flushes them as one run, a Parquet file with
 min/max statistics and a Parquet Bloom filter on the digest. Compaction merges runs into one sorted level with an entry
-for each digest: the id that stays, and how many rows share it. A hit (an entry with more than one row) is verified on
-the normalised bytes against the row that stays, so that two texts with one digest are never merged.
+for each digest: the id that stays, and how many rows share it. Hits are verified on the normalised bytes: an entry stands
+only if as many rows have the very same bytes, so that two texts with one digest are never merged.
 """
 
 from __future__ import annotations
@@ -11,10 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch_path
+from .common import ascii_lower, scratch_path, write_and_reread
 
-#: Rows of one digest that a single salt of the verification join takes.
-ROWS_PER_SALT = 4096
 #: Parquet settings of a run: the filter on digests.
 RUN_FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
 
@@ -65,23 +63,22 @@ def exact_dedup(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
     index = DigestIndex(spark, keep=keep)
     index.flush(rows.select(digest_of(F.col("norm"), digest_bits).alias("digest"), "doc_id"))
     entries = index.compact()
-    # A hot entry is spread over salts: its rows go to one of them each, the text that stays to all.
-    hits = entries.where("rows > 1").withColumn("salts", F.ceil(F.col("rows") / ROWS_PER_SALT).cast("int"))
-    keyed = rows.withColumn("digest", digest_of(F.col("norm"), digest_bits))
-    # Documents without a copy need no text any more: only their digests are dealt out.
-    once = keyed.select("doc_id", "digest", F.sha2("norm", 256).alias("text_sha256")).join(entries.where("rows = 1").select("digest"), "digest", "left_semi")
-    singles = once.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.col("doc_id").isNotNull().alias("kept"), "text_sha256")
-    several = keyed.join(hits.select("digest", "keep_id", "salts"), "digest")
-    salted = several.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    stays = several.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.first("salts").alias("salts"))
-    stays = stays.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    # Byte verification. Where bytes differ under one digest, the text itself parts the group.
-    verified = salted.join(stays, ["digest", "salt"], "left").select("doc_id", "digest", "salt", F.when(F.col("norm") == F.col("kept_norm"), F.lit("")).otherwise(F.concat(F.lit("="), F.col("norm"))).alias("apart"), F.sha2("norm", 256).alias("text_sha256"))
     pick = F.min if keep == "min" else F.max
-    groups = verified.groupBy("digest", "apart").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max("salt").alias("last"))
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    copies = verified.join(groups, ["digest", "apart", "salt"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
-    return singles.unionByName(copies)
+    # Byte verification, each task sending a text once however many copies it holds: rows of one digest and the same bytes.
+    keyed = rows.withColumn("digest", digest_of(F.col("norm"), digest_bits))
+    texts = keyed.groupBy("digest", "norm").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    texts = write_and_reread(texts.select("digest", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "verified")
+    known = entries.withColumnRenamed("keep_id", "entry_id").join(texts, "digest")
+    # An entry all of whose rows have the same bytes is a group; then the runs hold all that is needed of its documents.
+    groups = known.where("rows = group_size")
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept")
+    out = index.runs().join(groups, "digest").select("doc_id", "keep_id", "group_size", kept, "text_sha256")
+    apart = known.where("rows > group_size")
+    if apart.isEmpty():
+        return out
+    # Different texts under one digest: the digest of all bits tells them apart.
+    full = keyed.select("doc_id", "digest", F.sha2("norm", 256).alias("text_sha256"))
+    return out.unionByName(full.join(apart, ["digest", "text_sha256"]).select("doc_id", "keep_id", "group_size", kept, "text_sha256"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
