@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_output
+from . import decontam, exact_dedup, line_dedup, mixing, token_output
 
 QUERIES = {
+    "op3_decontamination": decontam.op3_decontamination,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op10_token_output": token_output.op10_token_output,
 }
 ORACLE_SQL = {
+    "op3_decontamination": decontam.OP3_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
