@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, line_dedup, mixing, token_output
+from . import decontam, exact_dedup, langid, line_dedup, mixing, token_output
 
 QUERIES = {
+    "op6_language_id": langid.op6_language_id,
     "op3_decontamination": decontam.op3_decontamination,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
