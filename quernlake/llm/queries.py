@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, langid, line_dedup, mixing, token_output
+from . import decontam, exact_dedup, langid, line_dedup, mixing, token_output, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op6_language_id": langid.op6_language_id,
     "op3_decontamination": decontam.op3_decontamination,
     "op5_line_dedup": line_dedup.op5_line_dedup,
