@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, langid, line_dedup, mixing, near_dedup, suffix_dedup, token_output, toxicity
+from . import decontam, exact_dedup, langid, line_dedup, mixing, near_dedup, secret_scan, suffix_dedup, token_output, toxicity
 
 QUERIES = {
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op1_toxicity": toxicity.op1_toxicity,

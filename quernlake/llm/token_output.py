@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ _LENGTHS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 BLOCK_IDS = 1 << 17
 #: Bytes of text (as Parquet) that one output file takes.
 FILE_BYTES = 16 << 20
+#: Files up to which their totals are broadcast; beyond, they are joined.
+MOST_FILES_BROADCAST = 100_000
 BLOCK_SCHEMA = "part int, block int, start_in_part bigint, doc_ids binary, counts binary, n_ids bigint, words binary"
 
 
@@ -49,17 +52,27 @@ def simple8b_encode(ids: np.ndarray) -> np.ndarray:
         bits = np.where(ids == 0, 0, np.frexp(ids.astype(np.float64))[1]).astype(np.uint8)
         for i in np.flatnonzero(ids >= np.uint64(1 << 52)):  # beyond what a float tells apart
             bits[i] = int(ids[i]).bit_length()
-    # The most bits among the next 1, 2, 3 ... ids, at places where that many still fit; a place's last fit is its selector.
+    # The most bits among the next 1, 2, 3 ... ids; each place takes the last selector that still fits. First everywhere, then only
+    # at the few places where many small ids follow.
     bits = np.concatenate([bits, np.full(60, 255, np.uint8)])
     chosen = np.full(n, ESCAPE, np.uint8)
-    places, most, width = np.arange(n), bits[:n], 1
-    for selector in range(len(COUNTS) - 1, 0, -1):
+    most, width, selector = bits[:n].copy(), 1, len(COUNTS) - 1
+    while selector and COUNTS[selector] <= 8:
+        while width < COUNTS[selector]:
+            np.maximum(most, bits[width : n + width], out=most)
+            width += 1
+        np.putmask(chosen, most <= BITS[selector], selector)
+        selector -= 1
+    places = np.flatnonzero(most <= BITS[selector + 1])
+    most = most[places]
+    while selector and len(places):
         while width < COUNTS[selector]:
             most = np.maximum(most, bits[places + width])
             width += 1
         fits = most <= BITS[selector]
         places, most = places[fits], most[fits]
         chosen[places] = selector
+        selector -= 1
     steps = _STEPS[chosen].tobytes()
     at, places = 0, []
     while at < n:
@@ -107,96 +120,73 @@ def simple8b_decode(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-class IdMemory:
-    """Ids by string, for up to `most` strings; then it starts anew."""
-
-    def __init__(self, most: int) -> None:
-        self.most = most
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.offsets = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
-
-    def add(self, strings: list[str], ids: list) -> None:
-        n, lengths = len(self.place), np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = self.offsets[n] + np.cumsum(lengths)
-        for name, need in (("flat", int(ends[-1])), ("offsets", n + len(ids) + 1)):
-            if need > len(old := getattr(self, name)):
-                setattr(self, name, np.concatenate([old, np.zeros(max(len(old) // 2, need - len(old)), old.dtype)]))
-        self.flat[self.offsets[n] : ends[-1]] = np.concatenate([np.asarray(x, np.int32) for x in ids])
-        self.offsets[n + 1 : n + 1 + len(ids)] = ends
-        self.place.update(zip(strings, range(n, n + len(ids)), strict=True))
-
-    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of strings, one string after the other, and how many each has."""
-        begin = self.offsets[places]
-        lengths = self.offsets[places + 1] - begin
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(begin - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
-
-
-class PieceTokenizer:
+class PieceTokenizer(dict):
     """Ids of texts by the tokenizers library, each distinct piece of text being encoded once.
 
     The byte-level vocabulary used here never lets a token reach over a place where a space follows a character
-    that is not white space; so a text's ids are those of its pieces between such places, in order. A piece is in turn
-    made of the units of the vocabulary's own splitting pattern. Pieces, units and their ids are remembered, up to a bound
-    that only speed depends on.
+    that is not white space; so a text's ids are those of its pieces between such places, in order. A piece is kept without the space
+    that begins it, a text's first piece with a mark. Pieces and their ids are remembered up to a bound that only speed depends on.
     """
 
-    #: Fixed value: the splitting pattern of this vocabulary.
-    UNITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: Begins a text's first piece: a lone surrogate, which no text holds.
+    FIRST = "\ud800"
+    #: Two characters that tell that splitting at every space is wrong: white space before a space.
+    ODD_ASCII = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 33)))
+    ODD_OTHER = tuple(c + " " for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
-    def __init__(self, path: str, pieces: int = 300_000, units: int = 700_000) -> None:
+    def __init__(self, path: str, remembered: int = 700_000) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.unit, self.breaks = regex.compile(self.UNITS), re.compile(r"(?<=\S) ")
-        self.odd = re.compile(r"\s ")
-        self.pieces, self.units = IdMemory(pieces), IdMemory(units)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces that are not remembered."""
-        split = [[p] if any(x in p for x in self.special) else self.unit.findall(p) for p in pieces]
-        fresh = [u for u in dict.fromkeys(u for units in split for u in units) if u not in self.units.place]
-        if len(self.units.place) + len(fresh) > self.units.most:
-            self.units.forget()
-            fresh = list(dict.fromkeys(u for units in split for u in units))
-        if fresh:
-            self.units.add(fresh, [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)])
-        at, ids = self.units.place, []
-        flat, offsets = self.units.flat, self.units.offsets.tolist() if len(pieces) > 10_000 else self.units.offsets
-        for units in split:
-            if len(units) == 1:
-                n = at[units[0]]
-                ids.append(flat[offsets[n] : offsets[n + 1]])
-            else:
-                ids.append(np.concatenate([flat[offsets[n] : offsets[n + 1]] for n in map(at.__getitem__, units)]) if units else flat[:0])
-        self.pieces.add(pieces, ids)
+        self.tokenizer, self.remembered, self.breaks = Tokenizer.from_file(path), remembered, re.compile(r"(?<=\S) ")
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.flat, self.offsets = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        self[piece] = n = len(self)
+        return n
+
+    def learn(self) -> None:
+        """Encode the pieces met since the last call."""
+        texts = [x[1:] if x[:1] == self.FIRST else " " + x for x in self.fresh]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        n = len(self) - len(ids)
+        ends = self.offsets[n] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        for name, need in (("flat", int(ends[-1])), ("offsets", len(self) + 1)):
+            if need > len(old := getattr(self, name)):
+                setattr(self, name, np.concatenate([old, np.zeros(max(len(old) // 2, need - len(old)), old.dtype)]))
+        self.flat[self.offsets[n] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1] - self.offsets[n]))
+        self.offsets[n + 1 : len(self) + 1] = ends
+        self.fresh = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and how many each has. Special tokens are recognised as the library does by default."""
+        if not texts:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        if len(self) > self.remembered:
+            self.forget()
         parts: list[str] = []
-        counts = []
+        begins = []
         for text in texts:
-            own = self.breaks.split(text) if self.odd.search(text) else text.split(" ")
-            counts.append(len(own))
-            parts.append(own[0])
-            parts += [" " + x for x in own[1:]]
-        found = list(map(self.pieces.place.get, parts))
-        if None in found:
-            missing = list(dict.fromkeys(x for x, n in zip(parts, found, strict=True) if n is None))
-            if len(self.pieces.place) + len(missing) > self.pieces.most:
-                self.pieces.forget()
-                missing = list(dict.fromkeys(parts))
-            self.learn(missing)
-            found = list(map(self.pieces.place.__getitem__, parts))
-        ids, lengths = self.pieces.gather(np.array(found, np.int64))
-        return ids, np.add.reduceat(lengths, np.r_[0, np.cumsum(counts)[:-1]]) if texts else np.empty(0, np.int64)
+            odd = any(map(text.__contains__, self.ODD_ASCII)) or not text.isascii() and any(map(text.__contains__, self.ODD_OTHER))
+            own = self.breaks.split(text) if odd else text.split(" ")
+            own[0] = self.FIRST + own[0]
+            begins.append(len(parts))
+            parts += own
+        places = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        if self.fresh:
+            self.learn()
+        begin = self.offsets[places]
+        lengths = self.offsets[places + 1] - begin
+        ends = np.cumsum(lengths)
+        begin -= ends - lengths
+        return self.flat[np.repeat(begin, lengths) + np.arange(ends[-1])], np.add.reduceat(lengths, begins)
 
 
 def _write_blocks(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -217,8 +207,8 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id
             start += len(tokens)
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, files: int | None = None) -> None:
-    """Tokenize docs and write their ids to a folder in the module's format, in ascending doc_id order.
+def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, files: int | None = None) -> int:
+    """Tokenize docs and write their ids to a folder in the module's format, in ascending doc_id order. Returns how many files there may be.
 
     Only doc_id and text are read. A null text is empty: it has the end id alone. Rows that share an id follow one another, by
     text; a null id counts as the smallest 64-bit integer. An empty table gives a folder without blocks.
@@ -227,14 +217,17 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     n = files or max(1, -(-input_bytes(rows) // FILE_BYTES))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(lambda it: _write_blocks(it, tokenizer_path, end_id), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    return n
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, files: int) -> DataFrame:
     """The blocks of a folder, each with start: how many ids all blocks before it hold. One row for each file is summed in one task."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     ids_of = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = F.coalesce(F.sum("ids").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = ids_of.select("part", before.cast("bigint").alias("part_start"))
+    if files <= MOST_FILES_BROADCAST:
+        starts = F.broadcast(starts)  # a row for each file
     return blocks.join(starts, "part").withColumn("start", F.col("part_start") + F.col("start_in_part")).drop("part_start")
 
 
@@ -263,8 +256,8 @@ def _digests(doc_ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: n
 def token_output(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write docs as token ids, read the files back, and return doc_id, start, n_tokens, ids_crc32 of each row."""
     path = scratch_path(docs.sparkSession, "tokens")
-    write_token_ids(docs, path, tokenizer_path)
-    return decode_documents(read_blocks(docs.sparkSession, path), _digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    files = write_token_ids(docs, path, tokenizer_path)
+    return decode_documents(read_blocks(docs.sparkSession, path, files), _digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def default_tokenizer() -> str:
