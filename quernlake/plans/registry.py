@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extensions, relational
+from . import extensions, relational, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (relational, extensions):
+for module in (relational, extensions, streams):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
