@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import write_and_reread
+
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Consecutive ids that are numbered together; a source with many documents of one size is numbered in such pieces.
 ID_RANGE = 4096
@@ -36,17 +38,21 @@ def water_fill(sizes: DataFrame, weights: tuple[float, ...], most: float) -> Dat
     return s.withColumn("first", first).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("first.level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: str = "mix", carry: bool = False) -> DataFrame:
     """How often a mix takes each document: doc_id, source, size (words), source_size, target, copies, taken.
 
     Within a source all documents have the same expected copies r = target / source_size. Ordered by (size, doc_id), document
     number i takes floor(u + r (i + 1)) - floor(u + r i) copies, u being one offset drawn from the source's name and the seed: an
     integer boundary crossed gives a copy. Order by size makes the words taken come near the target. Never more than ceil(r) copies.
 
+    With carry, a column `row` holds all columns of the document, which have to include doc_id, source and text.
+
     A null text has size 0, a null source is a source, a null id comes first among equal sizes (rows that repeat an id, or
     lack one, are numbered among themselves in an order that only affects which of the equal rows counts). No source: no rows.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("range", F.coalesce(F.floor(F.col("doc_id") / ID_RANGE), F.lit(-(1 << 62))))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    sized = sized.withColumn("range", F.coalesce(F.floor(F.col("doc_id") / ID_RANGE), F.lit(-(1 << 62))))
+    rows = write_and_reread(sized.drop("row"), "sizes")
     cells = rows.groupBy("source", "size", "range").agg(F.count("*").alias("rows"))
     # Two sums over counts: sizes within a source, then id ranges within a size.
     by_size = cells.groupBy("source", "size").agg(F.sum("rows").alias("rows"))
@@ -57,13 +63,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     targets = water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     cells = cells.join(by_size, F.col("s2").eqNullSafe(F.col("s1")) & (F.col("z2") == F.col("z1"))).join(F.broadcast(targets), F.col("s2").eqNullSafe(F.col("source")))
     cells = cells.select("s2", "z2", "r2", (F.col("smaller") + F.col("earlier")).alias("before"), "source_size", "target")
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("doc_id")) - 1)
+    numbered = (sized if carry else rows).withColumn("i", F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("doc_id")) - 1)
     j = numbered.join(cells, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("range") == F.col("r2")))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     i = F.col("before") + F.col("i")
     copies = (F.floor(u + r * (i + 1)) - F.floor(u + r * i)).cast("bigint")
-    return j.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return j.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
