@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +35,17 @@ def has_prefix(text: Column, prefix: str) -> Column:
 
 def has_phrase(text: Column, words: list[str], gap: int = 1) -> Column:
     """Whether the words follow one another, each `gap` places after the one before."""
-    t = terms(text)
-    last = F.size(t) - gap * (len(words) - 1)
-    same = lambda i: _all([F.element_at(t, i + gap * k) == w for k, w in enumerate(words)])
-    return F.when(last >= 1, F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), same)).otherwise(False)
+    joined = F.concat(F.lit(" "), F.array_join(terms(text), " "), F.lit(" "))
+    if gap == 1:
+        return joined.contains(" " + " ".join(words) + " ")
+    between = " (?:[^ ]+ ){%d}" % (gap - 1)
+    return joined.rlike(" " + between.join(map(re.escape, words)) + " ")
 
 
 def _equals(word: str):
     return lambda w: w == word
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words: list[str] | None = None) -> DataFrame:
     """The inverted index: (term, id, tf, positions) of every document; positions count stop words, which are left out."""
     words = docs.select(id_col, F.posexplode(terms(F.col(text_col))).alias("pos", "term"))
@@ -60,8 +56,9 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 
 def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each document that holds a query term; a better match has a lower, negative score."""
-    t = docs.select(id_col, terms(F.col(text_col)).alias("t"))
-    counted = t.select(id_col, F.size("t").alias("dl"), *[F.size(F.filter("t", _equals(q))).alias(f"tf_{i}") for i, q in enumerate(query)])
+    # Bound to a lambda's variable, the terms are split once for all counts.
+    counts = lambda t: F.struct(F.size(t).alias("dl"), *[F.size(F.filter(t, _equals(q))).alias(f"tf_{i}") for i, q in enumerate(query)])
+    counted = docs.select(id_col, F.inline(F.transform(F.array(terms(F.col(text_col))), counts)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(query))])
     scored = counted.where(" OR ".join(f"tf_{i} > 0" for i in range(len(query)))).join(F.broadcast(stats))  # one row
     parts = [F.log(1 + (F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5)) * F.col(f"tf_{i}") * (k1 + 1) / (F.col(f"tf_{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) for i in range(len(query))]
