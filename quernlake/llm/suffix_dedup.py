@@ -33,9 +33,11 @@ TOKEN = 20
 #: Bytes of text that a block holds; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Bytes of Parquet input for which there is one bucket.
-BUCKET_BYTES = 6 << 20
-#: Tokens that each block gives to the choice of splitters.
-SPLITTER_SAMPLE = 16
+BUCKET_BYTES = 2 << 20
+#: Anchors' tokens that each block gives to the choice of splitters.
+SPLITTER_SAMPLE = 256
+#: Places whose anchors are looked for at once.
+PIECE_BYTES = 1 << 18
 NO_DOCUMENT = np.iinfo(np.int64).max
 BLOCKS = "block bigint, doc_ids binary, lengths binary, data binary, sample array<bigint>"
 
@@ -106,8 +108,8 @@ def equal_runs(windows: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.n
     return order, group
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: ids, byte lengths, compressed bytes, and some token hashes for the splitters."""
+def _pack(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: ids, byte lengths, compressed bytes, and the tokens of some anchors for the splitters."""
     part, made = TaskContext.get().partitionId(), 0
     held: list[tuple[np.ndarray, np.ndarray, bytes]] = []
 
@@ -115,7 +117,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal made, held
         ids, lengths, data = (np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), b"".join(h[2] for h in held))
         held = []
-        sample = token_hashes(np.frombuffer(data[: 1 << 16], np.uint8), TOKEN) if len(data) >= TOKEN else np.empty(0, np.uint64)
+        head = np.frombuffer(data[:PIECE_BYTES], np.uint8)  # anchors across documents serve as well here
+        sample = anchors(head, np.arange(len(head)) + length <= len(head), length)[3]
         sample = sample[:: max(1, len(sample) // SPLITTER_SAMPLE)].view(np.int64)
         row = [(part << 32) | made, ids.tobytes(), lengths.tobytes(), pa.compress(data, "zstd", asbytes=True), sample.tolist()]
         made += 1
@@ -155,10 +158,10 @@ class Block:
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
     def _anchors(self, length: int) -> tuple[np.ndarray, ...]:
-        places = 1 << 23
+        places = PIECE_BYTES
         if len(self.buf) <= places:
             return anchors(self.buf, self.whole, length)
-        # A very long document goes in pieces that overlap by a window less a byte.
+        # In pieces that overlap by a window less a byte.
         found = []
         for a in range(0, len(self.buf), places):
             b = min(len(self.buf), a + places + length - 1)
@@ -397,7 +400,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, output: str = "digests", b
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_DOCUMENT))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = buckets or max(1, -(-input_bytes(rows) // BUCKET_BYTES))
-    blocks = write_and_reread(rows.mapInArrow(_pack, BLOCKS), "blocks", compression="uncompressed")
+    blocks = write_and_reread(rows.mapInArrow(lambda it: _pack(it, length), BLOCKS), "blocks", compression="uncompressed")
     splitters = np.empty(0, np.uint64)
     if n > 1:
         # n - 1 quantiles of the sampled tokens; the unsigned order of hashes
