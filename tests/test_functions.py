@@ -120,3 +120,16 @@ def test_csv_round_trip(spark, tmp_path):
 def test_json_recordset_keeps_large_integers(spark):
     d = spark.createDataFrame([('[{"id": 9007199254740993}]',)], "j string")
     assert d.select(F.inline(files.json_recordset(F.col("j"), "id bigint"))).first().id == 9007199254740993
+
+
+def test_hashids(spark):
+    from quernlake.functions import hashids
+
+    salt = "This is my salt"
+    assert [hashids.Hashids().encode(1001), hashids.Hashids(salt).encode(1234567), hashids.Hashids(salt, 10).encode(1234567)] == ["jNl", "Pdzxp", "PlRPdzxpR7"]
+    assert hashids.Hashids(salt, 10, "abcdefghijABCxFGHIJ1234567890").encode(1234567) == "3GJ956J9B9"
+    for ids in (hashids.Hashids(), hashids.Hashids(salt, 8)):
+        assert all(ids.decode(ids.encode(*v)) == list(v) for v in ((0,), (7, 8, 9), (2**53,)))
+    d = spark.createDataFrame([(5,), (None,), (123456,)], "n long")
+    got = d.select("n", hashids.encode(F.col("n"), salt).alias("h")).select("n", hashids.decode(F.col("h"), salt).alias("m")).collect()
+    assert all(r.n == r.m for r in got)
