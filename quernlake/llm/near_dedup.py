@@ -23,7 +23,7 @@ from .common import NON_SPACE, mix64, ngram_hashes, word_hashes, write_and_rerea
 from .graph import connected_components
 
 MINIMA, ROWS, BITS = 128, 4, 2
-SMALL_BUCKET, TILE = 4, 160
+SMALL_BUCKET, TILE = 4, 400
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 6.0
 #: Shingles whose minima are taken at once.
@@ -203,7 +203,9 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("hub")).where("n > 1")
     met = write_and_reread(rows.join(sizes, "band"), "bands")
     # Large buckets: clusters, however many bands tie them.
-    tied = met.where((F.col("n") > SMALL_BUCKET) & (F.col("key") != F.col("hub"))).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    # A class meets the smallest of its hubs, and its other hubs meet that one: links that copies of one group share, so there are few.
+    hubs = met.where(F.col("n") > SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))  # a hub for each band at most
+    tied = hubs.select(F.element_at("hubs", 1).alias("b"), F.explode(F.array_append("hubs", F.col("key"))).alias("a")).where("a <> b").select("a", "b").distinct()
     clusters = write_and_reread(connected_components(tied), "clusters")
     # Small buckets: pairs, each once, unless a cluster has both.
     small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("band").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # SMALL_BUCKET keys at most
