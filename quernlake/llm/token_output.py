@@ -9,6 +9,7 @@ of up to 64 bits as it is. Since a block says how many words and ids it has, blo
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -120,6 +121,13 @@ def simple8b_decode(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+def _byte_letters() -> dict[int, int]:
+    """The rule of byte-level vocabularies: bytes that print stand for themselves, the others, in order, for the characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b if b in shown else 256 + hidden.index(b) for b in range(256)}
+
+
 class PieceTokenizer(dict):
     """Ids of texts by the tokenizers library, each distinct piece of text being encoded once.
 
@@ -134,12 +142,18 @@ class PieceTokenizer(dict):
     ODD_ASCII = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 33)))
     ODD_OTHER = tuple(c + " " for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
-    def __init__(self, path: str, remembered: int = 700_000) -> None:
+    #: Fixed value: the splitting pattern of this vocabulary. It is only used on letters below U+0250, which all tables of letters agree on.
+    UNITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, path: str, remembered: int = 900_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered, self.breaks = Tokenizer.from_file(path), remembered, re.compile(r"(?<=\S) ")
+        self.unit, self.letters, self.model = regex.compile(self.UNITS), _byte_letters(), self.tokenizer.model
+        self.marks = {c: self.model.token_to_id(c) for c in ".,"}
         self.forget()
 
     def forget(self) -> None:
@@ -152,10 +166,26 @@ class PieceTokenizer(dict):
         self[piece] = n = len(self)
         return n
 
+    def ids_of(self, piece: str) -> list[int]:
+        """The ids of one piece: the library's model on each unit, or the whole library where the splitting is not plain."""
+        text, word = (piece[1:], piece[1:]) if piece[:1] == self.FIRST else (" " + piece, piece)
+        if "<|" in word or not word.isascii() and max(word) >= "\u0250":
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if word.isalpha():
+            units = (text,)
+        elif word[-1:] in (".", ",") and word[:-1].isalpha():
+            known = self.get(piece[:-1], len(self))
+            if known < len(self) - len(self.fresh):  # the word without its mark is remembered
+                return [*self.flat[self.offsets[known] : self.offsets[known + 1]].tolist(), self.marks[word[-1]]]
+            units = (text[:-1], word[-1])
+        else:
+            units = self.unit.findall(text)
+        tokenize, letters = self.model.tokenize, self.letters
+        return [t.id for u in units for t in tokenize(u.encode().decode("latin-1").translate(letters))]
+
     def learn(self) -> None:
         """Encode the pieces met since the last call."""
-        texts = [x[1:] if x[:1] == self.FIRST else " " + x for x in self.fresh]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = list(map(self.ids_of, self.fresh))
         n = len(self) - len(ids)
         ends = self.offsets[n] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         for name, need in (("flat", int(ends[-1])), ("offsets", len(self) + 1)):
@@ -192,6 +222,7 @@ class PieceTokenizer(dict):
 def _write_blocks(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Tokenize the documents of a range, in order, into blocks. Runs of documents of at most a block's ids go together."""
     tokenizer, part, block, start = PieceTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+    gc.disable()  # long lists of strings, no cycles: collections would only walk them
     for batch in batches:
         ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text")
         sizes = np.cumsum(np.asarray(pc.binary_length(texts), np.int64) // 2)
