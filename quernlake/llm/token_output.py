@@ -145,7 +145,7 @@ class PieceTokenizer(dict):
     #: Fixed value: the splitting pattern of this vocabulary. It is only used on letters below U+0250, which all tables of letters agree on.
     UNITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str, remembered: int = 900_000) -> None:
+    def __init__(self, path: str, remembered: int = 700_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
@@ -223,6 +223,15 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id
     """Tokenize the documents of a range, in order, into blocks. Runs of documents of at most a block's ids go together."""
     tokenizer, part, block, start = PieceTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0, 0
     gc.disable()  # long lists of strings, no cycles: collections would only walk them
+    try:
+        yield from _blocks_of(batches, tokenizer, part, block, start, end_id)
+    finally:
+        gc.enable()  # the worker goes on to other tasks
+        del tokenizer
+        gc.collect()
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], tokenizer: PieceTokenizer, part: int, block: int, start: int, end_id: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text")
         sizes = np.cumsum(np.asarray(pc.binary_length(texts), np.int64) // 2)
