@@ -244,6 +244,18 @@ def log_apply(read):
     return changes.apply_log(half, m, ["user_id"], frontier=700, done=400)
 
 
+@query("WITH m AS (SELECT event_id AS lsn, user_id, value, CASE WHEN event_id % 5 = 0 THEN 'delete' ELSE 'update' END AS op FROM events) SELECT user_id, value FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) = 1 AND op <> 'delete'")
+def log_apply_whole(read):
+    """The whole log, whatever its length, in two steps: up to half of its last lsn, then up to its end."""
+    m = read("events").select(F.col("event_id").alias("lsn"), F.lit(0).alias("seq"), F.when(F.col("event_id") % 5 == 0, "delete").otherwise("update").alias("op"), "user_id", "value")
+    empty = m.where("false").select("user_id", "value")
+    last = m.agg(F.max("lsn")).first()[0]
+    if last is None:
+        return empty
+    half = changes.apply_log(empty, m, ["user_id"], frontier=last // 2)
+    return changes.apply_log(half, m, ["user_id"], frontier=last, done=last // 2)
+
+
 @query("SELECT min(done)::BIGINT AS frontier FROM (SELECT event_type, max(event_id) AS done FROM events GROUP BY event_type)")
 def log_frontier(read):
     return changes.frontier(read("events"), "event_type", "event_id")
