@@ -24,7 +24,8 @@ def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.read_stream(spark, f"{sf_dir}/events.parque[t]")  # a pattern, since the table may be a file or a folder
+    # A pattern, since the table may be a file or a folder; one batch, since its files are in no order of time.
+    return ev.read_stream(spark, f"{sf_dir}/events.parque[t]", files_per_trigger=None)
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.changes import changes
 
 
-def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """A stream of the Parquet files under a path, with the schema that they have now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 16) -> DataFrame:
+    """A stream of the Parquet files under a path, with the schema that they have now.
+
+    Files are taken by their time of change. Where that is not the order of events within the watermark, rows of later batches are dropped as late;
+    files_per_trigger = None puts all files that there are into one batch, in which no row is late.
+    """
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (stream if files_per_trigger is None else stream.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
 
 
 def tumbling(events: DataFrame, time: str, length: str, lateness: str, keys: list[str], *aggregates) -> DataFrame:

@@ -1,5 +1,15 @@
 """Queries over tables that are longer, or dealt over more files, than the smallest ones."""
 
+import os
+import random
+from collections import Counter
+from datetime import datetime, timedelta
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
 from quernlake.plans import registry
 
 
@@ -9,3 +19,23 @@ def test_log_is_applied_to_its_end(spark, tmp_path):
     last = {u: (i, v) for i, u, v in events}
     got = registry.QUERIES["log_apply_whole"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted((u, v) for u, (i, v) in last.items() if i % 5)
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_sessions", "stream_first_seen"])
+def test_streams_count_all_rows_of_many_files(spark, tmp_path, name):
+    rnd, start = random.Random(11), datetime(2024, 1, 1)
+    times = sorted(start + timedelta(minutes=rnd.randrange(60 * 24 * 30)) for _ in range(1200))
+    events = [{"event_id": i, "ts": t, "user_id": rnd.randrange(20), "event_type": rnd.choice("abc")} for i, t in enumerate(times)]
+    (tmp_path / "events.parquet").mkdir()
+    parts = [events[i : i + 30] for i in range(0, len(events), 30)]  # 40 files, each a part of time
+    rnd.shuffle(parts)
+    for n, part in enumerate(parts):
+        at = tmp_path / "events.parquet" / f"part-{n:05}.parquet"
+        pq.write_table(pa.Table.from_pylist(part), at)
+        os.utime(at, (1_700_000_000 + 60 * n,) * 2)
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    relation = con.sql(registry.ORACLE_SQL[name])
+    df = registry.QUERIES[name](spark, str(tmp_path)).select(relation.columns)
+    assert Counter(map(tuple, df.collect())) == Counter(relation.fetchall())
