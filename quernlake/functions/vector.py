@@ -41,16 +41,24 @@ def jaccard_distance(a: Column, b: Column) -> Column:
 METRICS = {"l2": l2_distance, "l1": l1_distance, "cosine": cosine_distance, "inner": lambda a, b: -inner_product(a, b)}
 
 
+def with_each(rows: DataFrame, queries: DataFrame, most_queries: int = 10_000) -> DataFrame:
+    """Every row with every query, without a task or the driver holding more than a block of about most_queries queries.
+
+    A set of one block is broadcast. A larger one is dealt evenly into blocks, and each task takes a part of the rows against one block.
+    """
+    blocks = -(-queries.count() // most_queries)
+    if blocks <= 1:
+        return rows.join(F.broadcast(queries), how="cross")
+    return rows.join(queries.repartition(blocks).hint("shuffle_replicate_nl"), how="cross")
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, metric: str = "l2", most_queries: int = 10_000) -> DataFrame:
     """For each query (its id and vector) the k nearest of all rows: query_id, the row's id, distance, rank. Exact.
 
-    The queries are a stated set, at most most_queries of them, which is checked; they are broadcast, and every task keeps the best k of each query
-    before anything is shuffled.
+    Queries are taken in blocks of about most_queries, and every task keeps the best k of each query before anything is shuffled.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q")))
-    pairs = rows.select(id_col, vector_col).join(q, how="cross").select("query_id", id_col, METRICS[metric](F.col(vector_col), F.col("_q")).alias("distance"))
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
+    pairs = with_each(rows.select(id_col, vector_col), q, most_queries).select("query_id", id_col, METRICS[metric](F.col(vector_col), F.col("_q")).alias("distance"))
     # Spark keeps k rows of each group before the shuffle already (a window group limit).
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col)))
     return ranked.where(F.col("rank") <= k)

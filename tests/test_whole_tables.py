@@ -1,5 +1,6 @@
 """Queries over tables that are longer, or dealt over more files, than the smallest ones."""
 
+import math
 import os
 import random
 from collections import Counter
@@ -9,7 +10,9 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from quernlake.functions import vector
 from quernlake.plans import registry
 
 
@@ -39,3 +42,22 @@ def test_streams_count_all_rows_of_many_files(spark, tmp_path, name):
     relation = con.sql(registry.ORACLE_SQL[name])
     df = registry.QUERIES[name](spark, str(tmp_path)).select(relation.columns)
     assert Counter(map(tuple, df.collect())) == Counter(relation.fetchall())
+
+
+def test_nearest_takes_more_queries_than_a_block(spark):
+    rnd = random.Random(13)
+    vectors = {i: [rnd.random(), rnd.random()] for i in range(200)}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
+    queries = rows.where("vec_id % 2 = 0")
+    got = vector.nearest(rows, queries, 3, "vec_id", "embedding", most_queries=7)
+    expected = [(q, i, r) for q in range(0, 200, 2) for r, i in enumerate(sorted(vectors, key=lambda i: (math.dist(vectors[q], vectors[i]), i))[:3], 1)]
+    assert sorted(map(tuple, got.select("query_id", "vec_id", "rank").collect())) == sorted(expected)
+
+
+def test_query_blocks_are_bounded_and_not_broadcast(spark):
+    rows, queries = spark.range(50), spark.range(100).withColumnRenamed("id", "q")
+    pairs = vector.with_each(rows, queries, 7)
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    in_tasks = pairs.groupBy(F.spark_partition_id()).agg(F.countDistinct("q").alias("n"))
+    assert pairs.distinct().count() == pairs.count() == 5000
+    assert in_tasks.agg(F.max("n")).first()[0] <= 7 + queries.rdd.getNumPartitions()
