@@ -61,3 +61,14 @@ def test_query_blocks_are_bounded_and_not_broadcast(spark):
     in_tasks = pairs.groupBy(F.spark_partition_id()).agg(F.countDistinct("q").alias("n"))
     assert pairs.distinct().count() == pairs.count() == 5000
     assert in_tasks.agg(F.max("n")).first()[0] <= 7 + queries.rdd.getNumPartitions()
+
+
+def test_index_has_rare_terms_and_tells_positions(spark, tmp_path):
+    def index(texts):
+        at = tmp_path / str(len(list(tmp_path.iterdir())))
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+        return {r["term"]: (r["df"], r["cf"], r["digest"]) for r in registry.QUERIES["inverted_index_whole"](spark, str(at)).collect()}
+
+    one, other = index(["a rare b b", "a"]), index(["rare a b b", "a"])
+    assert {t: v[:2] for t, v in one.items()} == {"a": (2, 2), "b": (1, 2), "rare": (1, 1)}
+    assert one["b"] == other["b"] and one["a"] != other["a"] and one["rare"] != other["rare"]
