@@ -9,9 +9,8 @@ of up to 64 bits as it is. Since a block says how many words and ids it has, blo
 
 from __future__ import annotations
 
-import gc
+import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -30,19 +29,25 @@ COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 0
 _STEPS = np.maximum(COUNTS, 1).astype(np.uint8)
+#: Ids of which a word holds none beyond a multiple.
+STRIDE = 512
+#: The selector of the most ids that fit before so many.
+_WITHIN = np.array([0, *(int(np.flatnonzero(COUNTS[1:] <= i)[0]) + 1 for i in range(1, 61))], np.uint8)
 #: Bits of small ids.
 _LENGTHS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 #: Ids after which a block ends.
 BLOCK_IDS = 1 << 17
 #: Bytes of text (as Parquet) that one output file takes.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
+#: Bytes of text whose fragments are told apart at once.
+GROUP_BYTES = 32 << 20
 #: Files up to which their totals are broadcast; beyond, they are joined.
 MOST_FILES_BROADCAST = 100_000
 BLOCK_SCHEMA = "part int, block int, start_in_part bigint, doc_ids binary, counts binary, n_ids bigint, words binary"
 
 
 def simple8b_encode(ids: np.ndarray) -> np.ndarray:
-    """Pack unsigned ids into 64-bit words, greedily: each word takes as many of the next ids as fit."""
+    """Pack unsigned ids into 64-bit words, greedily within each STRIDE of ids: a word takes as many of the next ids as fit."""
     ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     if not n:
@@ -62,7 +67,7 @@ def simple8b_encode(ids: np.ndarray) -> np.ndarray:
         while width < COUNTS[selector]:
             np.maximum(most, bits[width : n + width], out=most)
             width += 1
-        np.putmask(chosen, most <= BITS[selector], selector)
+        np.copyto(chosen, np.uint8(selector), where=most <= np.uint8(BITS[selector]))
         selector -= 1
     places = np.flatnonzero(most <= BITS[selector + 1])
     most = most[places]
@@ -74,25 +79,33 @@ def simple8b_encode(ids: np.ndarray) -> np.ndarray:
         places, most = places[fits], most[fits]
         chosen[places] = selector
         selector -= 1
-    steps = _STEPS[chosen].tobytes()
-    at, places = 0, []
-    while at < n:
-        places.append(at)
-        at += steps[at]
-    places = np.array(places, np.int64)
+    # No word goes on over a multiple of STRIDE ids, so that all strides find their words' places side by side.
+    left = np.minimum(STRIDE - np.arange(min(n, STRIDE)), 60)
+    chosen = np.where(chosen == ESCAPE, ESCAPE, np.maximum(chosen, np.resize(_WITHIN[left], n)))
+    steps = _STEPS[chosen]
+    starts = np.zeros(n, bool)
+    at = np.arange(0, n, STRIDE)
+    ends = np.minimum(at + STRIDE, n)
+    while len(at):
+        starts[at] = True
+        at = at + steps[at]
+        more = at < ends
+        at, ends = at[more], ends[more]
+    places = np.flatnonzero(starts)
     picked = chosen[places].astype(np.int64)
     slots = np.cumsum(np.where(picked == ESCAPE, 2, 1))
     out = np.zeros(slots[-1], np.uint64)
     first = slots - np.where(picked == ESCAPE, 2, 1)
     padded = np.concatenate([ids, np.zeros(60, np.uint64)])
     for selector in np.unique(picked):
-        mine = picked == selector
+        mine = np.flatnonzero(picked == selector)
+        at = places[mine]
         if selector == ESCAPE:
-            out[first[mine] + 1] = ids[places[mine]]
+            out[first[mine] + 1] = ids[at]
             continue
-        word = np.full(int(mine.sum()), np.uint64(selector) << np.uint64(60), np.uint64)
+        word = np.full(len(mine), np.uint64(selector) << np.uint64(60), np.uint64)
         for k in range(COUNTS[selector]):
-            word |= padded[places[mine] + k] << np.uint64(k * BITS[selector])
+            word |= padded[at + k] << np.uint64(k * BITS[selector])
         out[first[mine]] = word
     return out
 
@@ -114,7 +127,7 @@ def simple8b_decode(words: np.ndarray, n: int) -> np.ndarray:
     for selector in np.unique(selectors[~raw]):
         if selector == ESCAPE:
             continue
-        mine = ~raw & (selectors == selector)
+        mine = np.flatnonzero(~raw & (selectors == selector))
         w, s, mask = words[mine], starts[mine], np.uint64((1 << int(BITS[selector])) - 1)
         for k in range(COUNTS[selector]):
             out[s + k] = (w >> np.uint64(k * BITS[selector])) & mask
@@ -128,123 +141,131 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in shown else 256 + hidden.index(b) for b in range(256)}
 
 
-class PieceTokenizer(dict):
-    """Ids of texts by the tokenizers library, each distinct piece of text being encoded once.
-
-    The byte-level vocabulary used here never lets a token reach over a place where a space follows a character
-    that is not white space; so a text's ids are those of its pieces between such places, in order. A piece is kept without the space
-    that begins it, a text's first piece with a mark. Pieces and their ids are remembered up to a bound that only speed depends on.
-    """
+def _pairs() -> np.ndarray:
+    """Whether a token always ends between two bytes, by 8 * class + class. See TextEncoder."""
+    out = np.zeros(64, bool)
+    for a, b in ((LETTER, MARK), (LETTER, NEWLINE), (LETTER, SPACE), (LETTER, WHITE), (LETTER, APOSTROPHE), (MARK, LETTER), (MARK, SPACE), (APOSTROPHE, SPACE), (NEWLINE, LETTER)):
+        out[8 * a + b] = True
+    return out
 
-    #: Begins a text's first piece: a lone surrogate, which no text holds.
-    FIRST = "\ud800"
-    #: Two characters that tell that splitting at every space is wrong: white space before a space.
-    ODD_ASCII = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 33)))
-    ODD_OTHER = tuple(c + " " for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
-    #: Fixed value: the splitting pattern of this vocabulary. It is only used on letters below U+0250, which all tables of letters agree on.
-    UNITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Classes of bytes: of other letters and signs; a-z, A-Z and letters from U+00C0 to U+024F; ASCII that prints, but for the apostrophe; white space.
+OTHER, LETTER, MARK, NEWLINE, SPACE, WHITE, APOSTROPHE = range(7)
+_CLASS = np.array([OTHER if b > 126 else LETTER if chr(b).isalpha() else NEWLINE if b == 10 else SPACE if b == 32 else WHITE if b < 32 else APOSTROPHE if b == 39 else MARK for b in range(256)], np.uint8)
+_ENDS = _pairs()
 
-    def __init__(self, path: str, remembered: int = 700_000) -> None:
-        super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered, self.breaks = Tokenizer.from_file(path), remembered, re.compile(r"(?<=\S) ")
-        self.unit, self.letters, self.model = regex.compile(self.UNITS), _byte_letters(), self.tokenizer.model
-        self.marks = {c: self.model.token_to_id(c) for c in ".,"}
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.fresh: list[str] = []
-        self.flat, self.offsets = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
-
-    def __missing__(self, piece: str) -> int:
-        self.fresh.append(piece)
-        self[piece] = n = len(self)
-        return n
-
-    def ids_of(self, piece: str) -> list[int]:
-        """The ids of one piece: the library's model on each unit, or the whole library where the splitting is not plain."""
-        text, word = (piece[1:], piece[1:]) if piece[:1] == self.FIRST else (" " + piece, piece)
-        if "<|" in word or not word.isascii() and max(word) >= "\u0250":
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        if word.isalpha():
-            units = (text,)
-        elif word[-1:] in (".", ",") and word[:-1].isalpha():
-            known = self.get(piece[:-1], len(self))
-            if known < len(self) - len(self.fresh):  # the word without its mark is remembered
-                return [*self.flat[self.offsets[known] : self.offsets[known + 1]].tolist(), self.marks[word[-1]]]
-            units = (text[:-1], word[-1])
-        else:
-            units = self.unit.findall(text)
-        tokenize, letters = self.model.tokenize, self.letters
-        return [t.id for u in units for t in tokenize(u.encode().decode("latin-1").translate(letters))]
-
-    def learn(self) -> None:
-        """Encode the pieces met since the last call."""
-        ids = list(map(self.ids_of, self.fresh))
-        n = len(self) - len(ids)
-        ends = self.offsets[n] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        for name, need in (("flat", int(ends[-1])), ("offsets", len(self) + 1)):
-            if need > len(old := getattr(self, name)):
-                setattr(self, name, np.concatenate([old, np.zeros(max(len(old) // 2, need - len(old)), old.dtype)]))
-        self.flat[self.offsets[n] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1] - self.offsets[n]))
-        self.offsets[n + 1 : len(self) + 1] = ends
-        self.fresh = []
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one text after the other, and how many each has. Special tokens are recognised as the library does by default."""
-        if not texts:
-            return np.empty(0, np.int32), np.empty(0, np.int64)
-        if len(self) > self.remembered:
-            self.forget()
-        parts: list[str] = []
-        begins = []
-        for text in texts:
-            odd = any(map(text.__contains__, self.ODD_ASCII)) or not text.isascii() and any(map(text.__contains__, self.ODD_OTHER))
-            own = self.breaks.split(text) if odd else text.split(" ")
-            own[0] = self.FIRST + own[0]
-            begins.append(len(parts))
-            parts += own
-        places = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
-        if self.fresh:
-            self.learn()
-        begin = self.offsets[places]
-        lengths = self.offsets[places + 1] - begin
-        ends = np.cumsum(lengths)
-        begin -= ends - lengths
-        return self.flat[np.repeat(begin, lengths) + np.arange(ends[-1])], np.add.reduceat(lengths, begins)
+class TextEncoder:
+    """Ids of texts by the tokenizers library, each distinct fragment of a group of texts being encoded once.
 
+    The byte-level vocabulary splits a text by a fixed pattern before it merges anything, and merges nothing over a split. Some of these splits follow from
+    two neighbouring bytes: between a letter and an ASCII character that is no letter; between such a character, but for an apostrophe, and a letter; before a space
+    that follows anything but white space; and between a newline and a letter, if no white space is before it. Texts are cut there, by array operations, and
+    each distinct fragment is encoded: by the library's model if it is one unit of the pattern, by the whole library if not.
+    A text that may hold a special token is one fragment.
+    """
 
-def _write_blocks(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """Tokenize the documents of a range, in order, into blocks. Runs of documents of at most a block's ids go together."""
-    tokenizer, part, block, start = PieceTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-    gc.disable()  # long lists of strings, no cycles: collections would only walk them
-    try:
-        yield from _blocks_of(batches, tokenizer, part, block, start, end_id)
-    finally:
-        gc.enable()  # the worker goes on to other tasks
-        del tokenizer
-        gc.collect()
+    #: Fragments that are one unit: letters, digits, or other signs, with a space before them at most.
+    UNIT = r"^ ?([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\x{24f}]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)$"
 
+    def __init__(self, vocabulary: str) -> None:
+        from tokenizers import Tokenizer
 
-def _blocks_of(batches: Iterator[pa.RecordBatch], tokenizer: PieceTokenizer, part: int, block: int, start: int, end_id: int) -> Iterator[pa.RecordBatch]:
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        letters = _byte_letters()
+        self.letters = np.array([letters[b] if b != 10 else 10 for b in range(256)], "<u4")
+
+    @staticmethod
+    def cuts(buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where fragments begin in buf, texts beginning at begins."""
+        kind = _CLASS[buf]
+        lead = np.flatnonzero((buf >= 0xC3) & (buf <= 0xC9))
+        if len(lead):
+            lead = lead[(buf[lead] != 0xC3) | ((buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7))]  # but for the signs of times and division
+            kind[lead] = LETTER
+            kind[lead + 1] = LETTER
+        edge = np.zeros(len(buf), bool)
+        edge[1:] = _ENDS[(kind[:-1] << 3) | kind[1:]]
+        lines = np.flatnonzero(edge[1:] & (kind[:-1] == NEWLINE)) + 1
+        before = kind[np.maximum(lines - 2, 0)]
+        edge[lines] = (lines > 1) & ((before == LETTER) | (before == MARK) | (before == APOSTROPHE))
+        edge[begins] = True
+        return edge
+
+    def ids_of(self, fragments: pa.Array) -> pa.ListArray:
+        """The ids of each fragment."""
+        single = pc.match_substring_regex(fragments, self.UNIT).to_numpy(zero_copy_only=False)
+        ids: list[int] = []
+        counts: list[int] = []
+        units = fragments.filter(pa.array(single))
+        if len(units):
+            tokenize = self.tokenizer.model.tokenize
+            data = pc.binary_join(pa.ListArray.from_arrays([0, len(units)], units.cast(pa.string())), "\n")[0].as_py().encode()
+            for unit in self.letters[np.frombuffer(data, np.uint8)].tobytes().decode("utf-32-le").split("\n"):
+                found = tokenize(unit)
+                counts.append(len(found))
+                ids += [t.id for t in found]
+        for found in self.tokenizer.encode_batch_fast(fragments.filter(pa.array(~single)).to_pylist(), add_special_tokens=False):
+            counts.append(len(found.ids))
+            ids += found.ids
+        # As they were: units and others in turn.
+        order = np.argsort(np.concatenate([np.flatnonzero(single), np.flatnonzero(~single)]), kind="stable")
+        found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
+        return found.take(pa.array(order))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none of them null), one text after the other, and how many each has. Special tokens are recognised as the library does by default."""
+        lengths = np.asarray(pc.binary_length(texts), np.int64)
+        ends = np.cumsum(lengths)
+        if not len(texts) or not ends[-1]:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        data = b"".join(texts.cast(pa.large_binary()).to_pylist())
+        buf, begins = np.frombuffer(data, np.uint8), ends - lengths
+        edge = self.cuts(buf, begins[lengths > 0])
+        for i in np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist():
+            edge[begins[i] + 1 : ends[i]] = False
+        at = np.flatnonzero(edge)
+        offsets = pa.py_buffer(np.append(at, len(buf)).astype(np.int64))
+        parts = pa.Array.from_buffers(pa.large_string(), len(at), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        found = self.ids_of(parts.dictionary).take(parts.indices)
+        after = found.offsets.to_numpy()  # ids before each fragment
+        return found.flatten().to_numpy(), (after[np.searchsorted(at, ends)] - after[np.searchsorted(at, begins)]).astype(np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> TextEncoder:
+    """The encoder of a vocabulary, made once in each worker process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return TextEncoder(vocabulary)
+
+
+def _groups(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts that together have at most so many bytes; a longer text is alone."""
+    a, ends = 0, np.cumsum(lengths)
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(ends, most + (ends[a - 1] if a else 0), side="right")))
+        yield a, b
+        a = b
+
+
+def _write_blocks(batches: Iterator[pa.RecordBatch], encoder: TextEncoder, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Tokenize the documents of a range, in order, into blocks: runs of documents that end once they have a block's ids."""
+    part, block, start = TaskContext.get().partitionId(), 0, 0
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text")
-        sizes = np.cumsum(np.asarray(pc.binary_length(texts), np.int64) // 2)
-        cuts = np.r_[np.flatnonzero(np.diff(sizes // BLOCK_IDS)) + 1, len(ids)]
-        for a, b in zip(np.r_[0, cuts[:-1]], cuts, strict=True):
-            tokens, counts = tokenizer.encode(texts.slice(a, b - a).to_pylist())
-            tokens = np.insert(tokens, np.cumsum(counts), end_id)
-            counts = counts + 1
-            words = simple8b_encode(tokens.astype(np.uint64))
-            row = [part, block, start, ids[a:b].astype(np.int64).tobytes(), counts.astype(np.uint32).tobytes(), len(tokens), words.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["part", "block", "start_in_part", "doc_ids", "counts", "n_ids", "words"])
-            block += 1
-            start += len(tokens)
+        ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("text")
+        for a, b in _groups(np.asarray(pc.binary_length(texts), np.int64), GROUP_BYTES):
+            tokens, counts = encoder.encode(texts.slice(a, b - a))
+            ends = np.cumsum(counts)
+            tokens = np.insert(tokens, ends, end_id)
+            counts, ends = counts + 1, ends + np.arange(1, b - a + 1)
+            last = np.unique(np.append(np.flatnonzero(np.diff(ends // BLOCK_IDS)) + 1, b - a))
+            for i, j in zip(np.append(0, last[:-1]).tolist(), last.tolist(), strict=True):
+                mine = tokens[ends[i] - counts[i] : ends[j - 1]]
+                row = [part, block, start, ids[a + i : a + j].tobytes(), counts[i:j].astype(np.uint32).tobytes(), len(mine), simple8b_encode(mine.astype(np.uint64)).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["part", "block", "start_in_part", "doc_ids", "counts", "n_ids", "words"])
+                block += 1
+                start += len(mine)
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, files: int | None = None) -> int:
@@ -256,7 +277,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = files or max(1, -(-input_bytes(rows) // FILE_BYTES))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(lambda it: _write_blocks(it, tokenizer_path, end_id), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    with open(tokenizer_path, encoding="utf-8") as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file; executors need not see the path
+    ranged.mapInArrow(lambda it: _write_blocks(it, _encoder(vocabulary.value), end_id), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
     return n
 
 

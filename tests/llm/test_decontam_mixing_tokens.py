@@ -1,7 +1,10 @@
+import functools
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import table
 from hypothesis import given, settings
@@ -80,7 +83,7 @@ def test_mix_meets_targets(spark, words):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.one_of(st.integers(0, 2**64 - 1), st.integers(0, 60_000), st.just(0)), max_size=300))
+@given(st.lists(st.one_of(st.integers(0, 2**64 - 1), st.integers(0, 60_000), st.just(0)), max_size=1500))
 def test_simple8b_round_trip(ids):
     ids = np.array(ids, np.uint64)
     words = token_output.simple8b_encode(ids)
@@ -89,21 +92,30 @@ def test_simple8b_round_trip(ids):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'.,aéZ1<|> "), st.characters(exclude_categories=["Cs"])), max_size=60), min_size=1, max_size=5))
-def test_piece_tokenizer_is_the_library(texts):
+def test_text_encoder_is_the_library(texts):
+    ours, theirs = _encoders()
+    ids, counts = ours.encode(pa.array(texts, pa.string()))
+    expected = [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(expected, []) and counts.tolist() == list(map(len, expected))
+
+
+@functools.cache
+def _encoders():
+    from tokenizers import Tokenizer
+
     path = token_output.default_tokenizer()
-    ours = _tokenizers.setdefault("ours", token_output.PieceTokenizer(path, remembered=50))
-    if "theirs" not in _tokenizers:
-        from tokenizers import Tokenizer
+    with open(path, encoding="utf-8") as f:
+        return token_output.TextEncoder(f.read()), Tokenizer.from_file(path)
+
 
-        _tokenizers["theirs"] = Tokenizer.from_file(path)
+def test_text_encoder_on_the_given_texts(sf_dir):
+    ours, theirs = _encoders()
+    texts = pq.read_table(f"{sf_dir}/documents.parquet").column("text").combine_chunks().fill_null("")
     ids, counts = ours.encode(texts)
-    expected = [_tokenizers["theirs"].encode(t, add_special_tokens=False).ids for t in texts]
+    expected = [theirs.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
     assert ids.tolist() == sum(expected, []) and counts.tolist() == list(map(len, expected))
 
 
-_tokenizers = {}
-
-
 def test_token_output(spark, edge_texts):
     from tokenizers import Tokenizer
 
