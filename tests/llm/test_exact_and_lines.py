@@ -33,6 +33,34 @@ def test_exact_dedup_without_ids(spark):
     assert exact_dedup.exact_dedup(docs.where("false")).collect() == []
 
 
+def test_exact_dedup_sends_no_text_without_copies(spark, words):
+    """No byte verification where no digest has two rows; of a few copies, only theirs and what the filter takes for them."""
+    texts = [f"{w} {i}" for i, w in enumerate(words)]
+    alone = exact_dedup.exact_dedup(table(spark, texts))
+    assert "norm" not in alone._jdf.queryExecution().toString()
+    assert {(r.keep_id == r.doc_id, r.group_size) for r in alone.collect()} == {(True, 1)}
+    rows = table(spark, [*texts, "twice", "TWICE"]).select("doc_id", exact_dedup.ascii_lower(exact_dedup.F.col("text")).alias("norm"))
+    digest, rest = exact_dedup.digest_of(exact_dedup.F.col("norm"))
+    rows = rows.select("*", digest.alias("digest"), rest.alias("rest"))
+    index = exact_dedup.DigestIndex(spark)
+    index.flush(rows)
+    hits = index.entries().where("rows > 1")
+    assert hits.count() == 1
+    assert 2 <= rows.where(exact_dedup.holds(exact_dedup.filter_of(hits, 1 << 12), exact_dedup.F.col("digest"), 1 << 12)).count() <= 6
+
+
+def test_digest_index_merges_runs_and_levels(spark):
+    index = exact_dedup.DigestIndex(spark, keep="max")
+    batch = lambda rows: spark.createDataFrame([(bytes([d]) * 32, b"", i) for d, i in rows], index.RUN)
+    index.flush(batch([(1, 5), (2, 6), (1, 9)]))
+    assert sorted((r.digest[0], r.keep_id, r.rows) for r in index.entries().collect()) == [(1, 9, 2), (2, 6, 1)]
+    index.flush(batch([(1, 7)]))
+    index.flush(batch([(3, None), (2, 8)]))
+    assert sorted((r.digest[0], r.keep_id, r.rows) for r in index.entries().collect()) == [(1, 9, 3), (2, 8, 2), (3, None, 1)]
+    assert [(r.digest[0], r.rows) for r in index.find([bytes([2]) * 32, bytes([9]) * 32]).collect()] == [(2, 2)]
+    assert index.runs().count() == 6
+
+
 def brute_lines(rows, least, docs):
     def key(line):
         k = line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
