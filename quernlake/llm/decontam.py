@@ -2,23 +2,24 @@
 
 Of every window of w consecutive k-gram hashes the smallest is kept as a fingerprint, so that two texts which share
 k + w - 1 words share a fingerprint whatever stands around them. Test items and documents meet on fingerprints; each
-hit is extended to the windows of words around it, which are then compared in full.
+hit is extended to the windows of words around it, which are then compared by 128-bit BLAKE2 hashes of their words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ALNUM, mix64, ngram_hashes, word_hashes, write_and_reread
 
 #: Bits of the filter on test fingerprints that is broadcast: 1 MB. A fuller filter lets more documents' fingerprints through to the join, no more.
 FILTER_BITS = 1 << 23
-ROWS = "doc_id bigint, n_words bigint, hits array<struct<fp:bigint,size:int,hash:binary,start:bigint>>"
+ROWS = "doc_id bigint, key binary, n_words bigint, hits array<struct<fp:bigint,size:int,hash:binary,start:bigint>>"
 
 
 def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -29,14 +30,27 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.unique(views.argmin(axis=1) + np.arange(len(views)))
 
 
-def words_of(text: str | None) -> np.ndarray:
-    """Hashes of the words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of a text after lower-casing A-Z; null has none."""
-    return word_hashes((text or "").encode().lower(), ALNUM)[0]
+class Words:
+    """The words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of a text after lower-casing A-Z; null has none. hashes: 64 bits of each."""
 
+    def __init__(self, text: str | None) -> None:
+        self.data = (text or "").encode().lower()
+        self.hashes, self.starts, self.ends = word_hashes(self.data, ALNUM)
+        self._joined: bytes | None = None
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """128 bits for every window of so many words, as rows of two 64-bit numbers."""
-    return np.stack([ngram_hashes(words, size), ngram_hashes(mix64(words ^ np.uint64(0x5851F42D4C957F2D)), size)], axis=1)
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def window(self, start: int, size: int) -> bytes:
+        """A 128-bit hash of the words from start on."""
+        if self._joined is None:
+            self._joined = b" ".join([self.data[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)])
+            self._offsets = np.append(0, np.cumsum(self.ends - self.starts + 1))
+        return hashlib.blake2b(self._joined[self._offsets[start] : self._offsets[start + size] - 1], digest_size=16).digest()
+
+    def key(self) -> bytes:
+        """A 128-bit hash of the text: what is found in a text depends on nothing else."""
+        return hashlib.blake2b(self.data, digest_size=16).digest()
 
 
 def _filter_places(fps: np.ndarray) -> np.ndarray:
@@ -68,48 +82,52 @@ def _test_windows(shape: Shape):
         for batch in batches:
             out = {"item_id": [], "size": [], "hash": [], "fp": []}
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = words_of(text)
+                words = Words(text)
                 if not len(words):
                     continue
                 size = min(shape.window, len(words))
-                full = window_hashes(words, size)
-                ((_, at, fps),) = shape.fingerprints(words, [size])
-                # the fingerprint of a window is the smallest within it: by places, the last one that is at or after its start ... checked on hashes
+                full = [words.window(s, size) for s in range(len(words) - size + 1)]
+                ((_, at, fps),) = shape.fingerprints(words.hashes, [size])
+                # a window has the fingerprint of every place within it
                 reach = shape.window - shape.k if size == shape.window else 0
                 for a, fp in zip(at.tolist(), fps.tolist(), strict=True):
                     for s in range(max(0, a - reach), min(a + 1, len(full))):
                         out["item_id"].append(item)
                         out["size"].append(size)
-                        out["hash"].append(full[s].tobytes())
+                        out["hash"].append(full[s])
                         out["fp"].append(fp)
             yield pa.RecordBatch.from_arrays([pa.array(out["item_id"], pa.string()), pa.array(out["size"], pa.int32()), pa.array(out["hash"], pa.binary()), pa.array(np.array(out["fp"], np.uint64).view(np.int64))], names=list(out))
 
     return run
 
 
-def _document_hits(shape: Shape, sizes: list[int], shared):
+def _document_hits(shape: Shape, sizes: list[int], shared, carry: tuple[str, ...]):
     """A row of each document: its words, and the windows around each fingerprint that the filter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         kind = pa.list_(pa.struct([("fp", pa.int64()), ("size", pa.int32()), ("hash", pa.binary()), ("start", pa.int64())]))
         for batch in batches:
-            n_words, hits = [], []
+            keys, n_words, hits = [], [], []
             for text in batch.column("text").to_pylist():
-                words = words_of(text)
+                words = Words(text)
                 own: list[dict] = []
-                for size, at, fps in shape.fingerprints(words, sizes):
+                for size, at, fps in shape.fingerprints(words.hashes, sizes):
                     places = _filter_places(fps)
                     found = np.flatnonzero((held[places >> 3] >> (places & 7).astype(np.uint8)) & 1)
                     if not len(found):
                         continue
-                    full = window_hashes(words, size)
-                    reach = shape.window - shape.k if size == shape.window else 0
+                    reach, last = shape.window - shape.k if size == shape.window else 0, len(words) - size
+                    seen: dict[int, bytes] = {}
                     for a, fp in zip(at[found].tolist(), fps[found].view(np.int64).tolist(), strict=True):
-                        own += [{"fp": fp, "size": size, "hash": full[s].tobytes(), "start": s} for s in range(max(0, a - reach), min(a + 1, len(full)))]
+                        for s in range(max(0, a - reach), min(a, last) + 1):
+                            if s not in seen:
+                                seen[s] = words.window(s, size)
+                            own.append({"fp": fp, "size": size, "hash": seen[s], "start": s})
+                keys.append(words.key() if own else None)
                 n_words.append(len(words))
                 hits.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hits, kind)], names=["doc_id", "n_words", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(n_words, pa.int64()), pa.array(hits, kind), *map(batch.column, carry)], names=["doc_id", "key", "n_words", "hits", *carry])
 
     return run
 
@@ -130,32 +148,39 @@ def _filter_of(tests: DataFrame) -> np.ndarray:
     return out
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 13, k: int = 5, share: float = 0.05) -> DataFrame:
+def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 13, k: int = 5, share: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """Find the windows of test items in documents: (doc_id, n_words, n_hit, item_ids, contaminated) for each row of docs.
 
     docs has doc_id and text, tests has item_id and text; other columns are ignored. A document's word is hit if it lies in
     any occurrence of a window of an item; item_ids are the items with windows in the document, as strings, sorted;
     contaminated means that at least `share` of the words, and one at least, are hit. Null and empty texts have no words and no windows; null item ids
-    are dropped from item_ids but their windows count; rows that repeat an id each get their own row, with the hits of all rows of that id
-    that have the same number of words. Without items nothing is hit; without documents the result is empty.
+    are dropped from item_ids but their windows count. Rows that repeat an id are judged each by its own text. Without items nothing is hit; without
+    documents the result is empty. `carry` names further columns of docs that the result has too.
     """
     spark, shape = docs.sparkSession, Shape(window, k)
     pairs = write_and_reread(tests.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_test_windows(shape), "item_id string, size int, hash binary, fp bigint"), "test-windows")
     sizes = sorted(r["size"] for r in pairs.select("size").distinct().collect())  # `window` values at most
     shared = spark.sparkContext.broadcast(_filter_of(pairs))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = write_and_reread(rows.mapInArrow(_document_hits(shape, sizes, shared), ROWS), "document-hits")
-    hits = found.where(F.size("hits") > 0).select("doc_id", "n_words", F.explode("hits").alias("h")).select("doc_id", "n_words", "h.*")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
+    found = write_and_reread(rows.mapInArrow(_document_hits(shape, sizes, shared, carry), ", ".join([ROWS, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])), "document-hits")
+    # By text from here on, once for all rows that have it.
+    hits = found.where("key IS NOT NULL").select("key", F.explode("hits").alias("h")).select("key", "h.*")
     # Fingerprints join first, then whole windows; a window is found by several fingerprints.
     met = hits.join(pairs.select("fp", "size").distinct(), ["fp", "size"], "left_semi").drop("fp").distinct()
     matched = met.join(pairs.select("size", "hash").distinct(), ["size", "hash"], "left_semi")
-    covered = matched.select("doc_id", "n_words", F.explode(F.expr("sequence(start, start + size - 1)")).alias("at")).distinct().groupBy("doc_id", "n_words").agg(F.count("*").alias("n_hit"))
-    items = matched.select("doc_id", "n_words", "size", "hash").distinct().join(pairs.select("size", "hash", "item_id").distinct(), ["size", "hash"])
-    items = items.groupBy("doc_id", "n_words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    both = covered.join(items, [covered.doc_id.eqNullSafe(items.doc_id), covered.n_words == items.n_words], "left").select(covered.doc_id.alias("at"), covered.n_words.alias("words"), "n_hit", "item_ids")
-    out = found.select("doc_id", "n_words").join(both, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("n_words") == F.col("words")), "left")
+    # Words covered: what each window adds beyond all windows that start before it.
+    end = F.col("start") + F.col("size")
+    before = F.max(end).over(Window.partitionBy("key").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1))
+    added = matched.select("key", F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("added"))
+    covered = added.groupBy("key").agg(F.sum("added").alias("n_hit"))
+    items = matched.select("key", "size", "hash").distinct().join(pairs.select("size", "hash", "item_id").distinct(), ["size", "hash"])
+    items = items.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    told = write_and_reread(covered.join(items, "key", "left"), "hit-texts")
+    # Rows without a candidate have nothing to join.
+    none = found.where("key IS NULL").select("doc_id", "n_words", *carry, F.lit(None).cast("bigint").alias("n_hit"), F.lit(None).cast("array<string>").alias("item_ids"))
+    out = found.where("key IS NOT NULL").join(told, "key", "left").select(none.columns).unionByName(none)
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("bigint"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), ((n_hit > 0) & (n_hit >= F.lit(share) * F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), ((n_hit > 0) & (n_hit >= F.lit(share) * F.col("n_words"))).alias("contaminated"), *carry)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,15 @@ def test_decontaminate(spark, edge_texts, words):
     assert sorted(tuple(r) for r in got.collect()) == brute_contamination(list(enumerate(texts)), list(enumerate(items)), 13)
 
 
+def test_decontaminate_by_row(spark, words):
+    """Rows of one id and length are judged each; windows of an item without an id count; further columns are carried."""
+    rows = [(1, " ".join(words[:13])), (1, " ".join(words[20:33])), (1, " ".join(words[:13])), (None, " ".join(words[:12])), (None, " ".join(words[40:60]))]
+    docs = spark.createDataFrame([(i, t, f"tag {n}", "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, key string, n_words string").repartition(2)
+    items = spark.createDataFrame([(None, " ".join(words[:13])), (4, " ".join(words[45:58]))], "item_id long, text string")
+    got = sorted((r.tag, r.doc_id, r.n_hit, r.item_ids, r.contaminated) for r in decontam.decontaminate(docs.withColumnRenamed("key", "tag"), items, carry=("tag",)).collect())
+    assert got == [("tag 0", 1, 13, [], True), ("tag 1", 1, 0, [], False), ("tag 2", 1, 13, [], True), ("tag 3", None, 0, [], False), ("tag 4", None, 13, ["4"], True)]
+
+
 def test_decontaminate_empty_tables(spark):
     docs, none = table(spark, ["a b c", None]), spark.createDataFrame([], "item_id long, text string")
     assert sorted(tuple(r)[1:] for r in decontam.decontaminate(docs, none).collect()) == [(0, 0, [], False), (3, 0, [], False)]
