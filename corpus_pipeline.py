@@ -5,6 +5,8 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before has
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,31 +14,55 @@ from quernlake.llm import decontam, langid, mixing, near_dedup, token_output
 from quernlake.llm.common import write_and_reread
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def _row_key():
+    """What tells rows apart in the eyes of the operators: the id and the text, nulls being values of their own."""
+    said = [F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(c).cast("string"))) for c in ("doc_id", "text")]
+    return F.unhex(F.md5(F.concat(said[0], F.lit(" "), said[1])))
+
+
+def _without(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """docs without the rows that judge(docs with a key column, its name) returns. Rows that share an id and a text share their fate."""
+    key = _fresh(docs, "row_key")
+    keyed = docs.withColumn(key, _row_key())
+    gone = judge(keyed, key).select(key).distinct()
+    return keyed.join(gone, key, "left_anti").select(docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts, and texts without a letter. Profiles are learned from the documents at hand."""
     del spark, sf_dir
-    return langid.identify(docs, langid.train_on(docs), lang_col="_lang", score_col="_score").where(F.col("_lang") != langid.UNDETERMINED).drop("_lang", "_score")
+    lang, score = _fresh(docs, "lang_found"), _fresh(docs, "lang_score")
+    told = langid.identify(docs, langid.train_on(docs), lang_col=lang, score_col=score)
+    return told.where(F.col(lang) != langid.UNDETERMINED).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays. Rows without an id stay."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays.
+
+    Rows without an id stay. Rows that repeat an id are judged each: one may stay while another, of another group, goes.
+    """
     del spark, sf_dir
-    gone = near_dedup.near_dedup(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, lambda keyed, key: near_dedup.near_dedup(keyed, carry=(key,)).where("NOT kept AND doc_id IS NOT NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of benchmark items in a twentieth of their words or more go."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold windows of benchmark items in a twentieth of their words or more go, each row being judged by its own text."""
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, lambda keyed, key: decontam.decontaminate(keyed, tests, carry=(key,)).where("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, be it never."""
     del spark, sf_dir
     mixed = mixing.mix(docs, carry=True).where("copies > 0")
-    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    return mixed.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +79,7 @@ STAGES = [
     ("token output", write_tokens),
 ]
 
-#: SQL has no tokenizer; tests hold the stages against brute force.
+#: SQL has no tokenizer; tests/llm/test_oracles_and_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

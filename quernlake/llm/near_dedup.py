@@ -92,7 +92,7 @@ def least_estimate(percent: int) -> float:
     return j - SLACK * (p * (1 - p) / MINIMA) ** 0.5 / (1 - 2.0**-BITS)
 
 
-def _signatures(size: int):
+def _signatures(size: int, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -111,7 +111,8 @@ def _signatures(size: int):
                         bands[i], packed[i] = x, y
                 kind = pa.list_(pa.int64())
                 columns = [batch.column("doc_id").slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(bands, kind), pa.array(packed, kind)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "bands", "packed"])
+                columns += [batch.column(c).slice(a, len(sets)) for c in carry]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "bands", "packed", *carry])
                 a += len(sets)
 
     return run
@@ -230,25 +231,26 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     return confirmed.unionByName(forests)
 
 
-def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
     """Group documents whose sets of `size`-word shingles have a similarity of at least percent / 100, directly or through others.
 
     Returns for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id of its group), kept (doc_id = component_id). Texts that are
     null or without words have empty sets and stand alone. Rows that repeat an id are rows of their own; the group's smallest id keeps all its rows. A row without an id has
     the group of an equal set that has one, and is never kept; component_id is null if there is none. An empty table gives an empty result; columns
-    other than doc_id and text are ignored.
+    other than doc_id and text are ignored, but for those that `carry` names, which the result has too.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = write_and_reread(rows.mapInArrow(_signatures(size), SIGNATURE), "signatures")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
+    schema = ", ".join([SIGNATURE, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    signed = write_and_reread(rows.mapInArrow(_signatures(size, carry), schema), "signatures")
     first = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "packed"), "doc_id").alias("s"))
     classes = write_and_reread(first.select("key", "doc_id", "s.bands", "s.packed"), "classes")
     found = connected_components(_links(rows, classes, size, percent))
     named = classes.join(found, classes.key == found.node, "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "component").select(F.col("key").alias("at"), "component_id")
-    out = signed.select("doc_id", "n_shingles", "key").join(of_class, F.col("key") == F.col("at"), "left")
+    out = signed.select("doc_id", "n_shingles", "key", *carry).join(of_class, F.col("key") == F.col("at"), "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), *carry)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,22 @@ def test_run_is_its_stages(spark, folder):
     key = lambda df: Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in df.collect())
     got = key(corpus_pipeline.run(spark, folder))
     assert got and got == key(docs)
+
+
+def test_stages_judge_rows_that_share_an_id(spark, folder, words):
+    """Of two texts under one id one may go and the other stay; columns with the stages' own names are theirs to keep."""
+    a, b = (" ".join(words[i : i + 40]) for i in (100, 200))
+    item = " ".join(words[(5 * k * k + 11) % 400] for k in range(20))
+    rows = [(3, b), (5, a), (5, b), (7, a), (7, item), (8, "x y z"), (8, "x y z"), (9, None)]
+    columns = "doc_id long, text string, lang string, source string, row_key string, lang_found string, kept string, row string"
+    docs = spark.createDataFrame([(i, t, None, "s", "k", "l", "m", "r") for i, t in rows], columns).repartition(3)
+    pairs = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    assert near.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == Counter([(3, b), (5, a), (7, item), (8, "x y z"), (8, "x y z"), (9, None)])
+    clean = corpus_pipeline.drop_contaminated(spark, docs, folder)
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for r in rows if r[1] != item)
+    mixed = corpus_pipeline.mix_sources(spark, docs, folder)
+    assert mixed.columns == docs.columns and set(pairs(mixed.where("text IS NOT NULL"))) <= {r for r in rows if r[1]}
+    told = corpus_pipeline.identify_language(spark, docs.fillna("en", ["lang"]), folder)
+    assert told.columns == docs.columns and Counter((r.doc_id, r.text) for r in told.collect()) == Counter(r for r in rows if r[1])
