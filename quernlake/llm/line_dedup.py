@@ -114,22 +114,25 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits
             owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[hit]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array([flat[i] for i in np.flatnonzero(hit)], pa.binary())], names=["doc_id", "key"])
 
-    held = write_and_reread(rows.mapInArrow(suspects, "doc_id bigint, key binary"), "suspects")
-    dead = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).select("key", "last")
-    return held.join(dead, "key").where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "key")
+    held = write_and_reread(rows.where("doc_id IS NOT NULL").mapInArrow(suspects, "doc_id bigint, key binary"), "suspects")
+    once = held.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))  # a common key is spread over its documents first
+    dead = once.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).select("key", "last")
+    # Written, so that the join's sides are plain tables: a small one is broadcast, and else Spark splits a common key's rows.
+    dead = write_and_reread(dead, "repeated-lines")
+    return held.join(dead, "key").where("doc_id <> last").select("doc_id", "key")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int | None = None) -> DataFrame:
     """Drop lines that many documents share, except from the largest doc_id that holds them.
 
     Returns for each row of docs: doc_id, text (the lines that stay, joined by newlines), n_lines, n_dropped. Null and
-    empty texts have one empty line and give an empty text. Each row counts as a document, also one that repeats an id; all rows with the
-    largest id keep a line. Rows with a null id count as holders, are never the largest unless no holder has an id, and
-    then keep their lines. An empty table gives an empty result; columns other than doc_id and text are ignored.
+    empty texts have one empty line and give an empty text. Documents are told apart by id: rows that repeat one count once as a holder, lose
+    the lines that any of them has to lose, and all keep a line of which theirs is the largest id. Rows with a null id are no documents: they
+    don't count, and keep all lines. An empty table gives an empty result; columns other than doc_id and text are ignored.
     """
     gone = repeated_lines(docs, min_chars, min_docs, bits).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    joined = rows.join(gone.withColumnRenamed("doc_id", "at"), F.col("doc_id").eqNullSafe(F.col("at")), "left").select("doc_id", "text", "keys")
+    joined = rows.join(gone, "doc_id", "left").select("doc_id", "text", "keys")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -93,6 +93,14 @@ def test_line_dedup(spark, edge_texts, words):
 
 def test_line_dedup_without_ids(spark):
     line = "x" * 50
-    docs = spark.createDataFrame([(None, line), (None, line + "\nb"), (1, line), (2, line), (3, line)], "doc_id long, text string")
+    docs = spark.createDataFrame([(None, line), (None, line + "\nb"), (1, line), (2, line), (3, line), (4, line), (5, line)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in line_dedup.line_dedup(docs).collect()), key=str)
-    assert got == sorted([(None, ""), (None, "b"), (1, ""), (2, ""), (3, line)], key=str)
+    assert got == sorted([(None, line), (None, line + "\nb"), (1, ""), (2, ""), (3, ""), (4, ""), (5, line)], key=str)
+
+
+def test_line_dedup_counts_repeated_ids_once(spark):
+    line, other = "x" * 50, "y" * 50
+    rows = [(1, line), (1, line), (1, "a\n" + line), (2, line), (2, line), *[(i, f"{i}\n{other}") for i in range(3, 8)], (7, other), (3, other + "\nz")]
+    got = sorted((r.doc_id, r.text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    # two documents hold the first line, five the second: of these the last keeps it, in both of its rows
+    assert got == sorted([(1, line), (1, line), (1, "a\n" + line), (2, line), (2, line), (3, "3"), (4, "4"), (5, "5"), (6, "6"), (7, "7\n" + other), (7, other), (3, "z")])
