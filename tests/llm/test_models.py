@@ -115,5 +115,49 @@ def test_network_learns_and_keeps_recall():
     assert (p[y[1::2] == 0] >= model.threshold).mean() <= 0.05
 
 
+def test_network_recall_is_kept_even_where_scores_are_low():
+    rnd = np.random.Generator(np.random.PCG64(8))
+    x, y = rnd.integers(1, secret_scan.N_CLASSES, (600, secret_scan.SEEN)).astype(np.uint8), (np.arange(600) % 2).astype(float)
+    model = secret_scan.CharCnn().start().fit(x[:300], y[:300], epochs=1).calibrate(x[300:], y[300:])  # noise: nothing to learn
+    assert (model.probability(x[300:][y[300:] == 1]) >= model.threshold).mean() >= secret_scan.RECALL
+
+
+def test_logits_are_the_network():
+    rnd = np.random.Generator(np.random.PCG64(8))
+    x = rnd.integers(0, secret_scan.N_CLASSES, (40, secret_scan.SEEN)).astype(np.uint8)
+    model = secret_scan.CharCnn().start()
+    assert np.allclose(model.logits(x, batch=7), model._forward(x)[-1], atol=1e-4)
+
+
+def test_windows_cover_whole_candidates():
+    assert secret_scan.cuts(3, 60) == [(3, 60)]
+    for n in (64, 65, 96, 97, 500):
+        seen = {i for s, e in secret_scan.cuts(10, 10 + n) for i in range(s, e)}
+        assert seen == set(range(10, 10 + n)) and all(e - s == 64 for s, e in secret_scan.cuts(10, 10 + n))
+    x = secret_scan.windows(["é a", "key " + "b" * 20 + " z"], [(1, 4, 24), (0, 2, 3)])
+    key = secret_scan.classes("key " + "b" * 20 + " z")
+    assert x[0].tolist() == [0] * 20 + key[:4].tolist() + key[4:24].tolist() + [0] * 44 + key[24:].tolist() + [0] * 6
+    assert x[1].tolist() == [0] * 22 + secret_scan.classes("é ").tolist() + secret_scan.classes("a").tolist() + [0] * 71
+
+
+def test_network_finds_kinds_that_it_has_not_seen(spark):
+    """Late in a long run, next to a base finding, and of a kind that training left out."""
+    rnd = random.Random(6)
+    key = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    hexa, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: key(rnd.randint(3, 16), "aeioulnrst")
+    prose = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{prose(20)} password={key(24, rnd.choice([mixed, hexa]))} {prose(20)}" for _ in range(200)] + [f"{prose(20)} AKIA{key(16, mixed[:26] + hexa[:10])} {prose(20)}" for _ in range(150)] + [f"{prose(20)} {key(32, hexa)} {prose(20)}" for _ in range(150)]
+    docs = table(spark, texts)
+    told = {kind: rest for kind, *rest in secret_scan.unseen_kinds(secret_scan.labelled_findings(docs))}
+    n, recall, precision = told["assign"]  # found by the looks of the values, which training saw as no assignments
+    assert n >= 150 and recall >= 0.8 and precision >= 0.8 and told["hex"][0] >= 150 and told["access"][0] == 150, told
+    model = secret_scan.train(secret_scan.labelled_findings(docs))
+    path, late = "/".join(word() for _ in range(14)), key(40, mixed)
+    new = [f"see {path}/{late} now", f"{key(16, mixed)}Z{key(16, hexa)}Z{key(20, mixed)}", prose(30), None, ""]
+    got = [[(s.kind, s.start, s.end) for s in r.spans if s.kind == "network"] for r in sorted(secret_scan.scan_secrets(table(spark, new), model).collect(), key=lambda r: r.doc_id)]
+    assert got[0] == [("network", 4, 5 + len(path) + 40)] and got[1] == [("network", 0, len(new[1]))] and got[3:] == [[], []]
+
+
 def test_base_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
