@@ -4,9 +4,11 @@ A document's set is its distinct word shingles. Documents with equal sets form a
 of each class make bands of ROWS minima; classes that share a band are candidates (at similarity 0.85 all but one pair in 10^10 share one). Of the
 minima only the lowest BITS bits are kept, packed into words; counting equal fields, corrected for fields that are equal by chance, estimates the similarity.
 
-Candidates are met in two ways. Small buckets give their pairs; those that the estimate leaves are confirmed pair by pair. Buckets of more
-than SMALL_BUCKET classes are tied into clusters, which are cut into tiles of TILE by TILE classes; a tile counts all its intersections at once
-and returns a spanning forest of its links, so that a group of any size gives no more links than a tile has classes, and no task gets the group.
+Candidates are confirmed in two rounds. First the pairs of small buckets, and of each larger bucket the pairs of a class with its smallest hub, a
+bucket's first class: those that the estimate leaves are confirmed pair by pair, and linked classes get one label. In most groups of copies that ends
+it. Then the larger buckets that hold several labels: their signatures are compared in tiles of bounded size, never two classes of one label, and each tile returns a
+spanning forest of what the estimate leaves. The classes of such a tree meet in tiles again, with their full sets. Chunks of a tile hold either one large label or many
+small ones, so tiles of one label are left out, and a group of any size costs a comparison with its hub for each class, and one with the group for each class that isn't like the hub.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from .common import NON_SPACE, mix64, ngram_hashes, word_hashes, write_and_rerea
 from .graph import connected_components
 
 MINIMA, ROWS, BITS = 128, 4, 2
-SMALL_BUCKET, TILE = 4, 400
+SMALL_BUCKET = 4
+#: Classes in a chunk, two of which make a tile: of signatures, and of full sets.
+SIGNATURE_TILE, TILE = 1024, 400
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 6.0
 #: Shingles whose minima are taken at once.
@@ -168,67 +172,125 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
+def _forest(linked: np.ndarray, names: list[bytes]) -> pa.Table:
+    """A spanning forest of a graph given as a matrix."""
+    seen = np.zeros(len(names), bool)
+    a, b = [], []
+    for s in np.flatnonzero(linked.any(axis=1)).tolist():
+        stack = [] if seen[s] else [s]
+        seen[s] = True
+        while stack:
+            u = stack.pop()
+            fresh = np.flatnonzero(linked[u] & ~seen).tolist()
+            seen[fresh] = True
+            a += [names[u]] * len(fresh)
+            b += [names[v] for v in fresh]
+            stack += fresh
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _apart(table: pa.Table) -> np.ndarray:
+    """Which pairs of a tile's rows have different labels."""
+    label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    return label[:, None] != label[None, :]
+
+
+def _estimate_tile(percent: int):
+    """Of one tile: a spanning forest of the pairs of different labels that the estimate leaves."""
+    fields = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+    # the estimate as a bound on unequal fields
+    most = int(np.floor(MINIMA * (1 - (least_estimate(percent) * (1 - 2.0**-BITS) + 2.0**-BITS)) + 1e-9))
+
+    def run(table: pa.Table) -> pa.Table:
+        packed = np.array(table.column("packed").to_pylist(), np.int64).view(np.uint64)
+        odd = np.zeros((len(packed), len(packed)), np.uint8)
+        for k in range(packed.shape[1]):
+            x = packed[:, None, k] ^ packed[None, :, k]
+            for shift in range(1, BITS):
+                x |= x >> np.uint64(shift)
+            odd += np.bitwise_count(x & fields)
+        return _forest((odd <= most) & _apart(table), table.column("key").to_pylist())
+
+    return run
+
+
 def _confirm_tile(percent: int):
-    """Of one tile: a spanning forest of the links between its two chunks (or within its one chunk)."""
+    """Of one tile: a spanning forest of the links between classes of different labels."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        names, chunk = table.column("key").to_pylist(), table.column("chunk").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        both = intersections(sets)
+    def run(table: pa.Table) -> pa.Table:
+        both = intersections([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
         sizes = np.diag(both)
-        linked = _linked(both, sizes[:, None], sizes[None, :], percent)
-        if i != j:
-            linked &= chunk[:, None] != chunk[None, :]
-        linked[np.arange(len(sets)), np.arange(len(sets))] = False
-        seen = np.zeros(len(sets), bool)
-        a, b = [], []
-        for s in range(len(sets)):
-            stack = [] if seen[s] else [s]
-            seen[s] = True
-            while stack:
-                u = stack.pop()
-                fresh = np.flatnonzero(linked[u] & ~seen).tolist()
-                seen[fresh] = True
-                a += [names[u]] * len(fresh)
-                b += [names[v] for v in fresh]
-                stack += fresh
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        return _forest(_linked(both, sizes[:, None], sizes[None, :], percent) & _apart(table), table.column("key").to_pylist())
 
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes (key, doc_id, bands, packed): enough of them to connect what is connected."""
+def _tiles(members: DataFrame, most: int) -> DataFrame:
+    """Deal members (grp, key, label) into tiles of two chunks: rows (grp, i, j, key, label) such that each two members of a group with different labels meet.
+
+    A label of `most` members or more in a group has chunks of its own, the others share chunks; members of one label stay together where they can.
+    """
+    labels = members.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    pooled = labels.where(F.col("n") < most).groupBy("grp").agg(F.sum("n").alias("pool"))
+    labels = labels.join(pooled, "grp", "left").select("grp", "label", F.when(F.col("n") >= most, F.col("label")).alias("owner"), F.ceil(F.when(F.col("n") >= most, F.col("n")).otherwise(F.col("pool")) * 2 / most).alias("parts"))
+    dealt = members.join(labels, ["grp", "label"])
+    part = F.pmod(F.when(F.col("owner").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("key")), F.greatest(F.lit(1), F.floor(F.col("parts") / 2)))
+    dealt = write_and_reread(dealt.select("grp", "key", "label", "owner", F.xxhash64("owner", part).alias("chunk")), "chunks")
+    chunks = dealt.groupBy("grp", "chunk", "owner").agg(F.min("label").alias("least"), F.max("label").alias("last"))
+    x, y = (chunks.select("grp", F.col("chunk").alias(c), F.col("owner").alias(f"owner_{c}"), F.col("least").alias(f"least_{c}"), F.col("last").alias(f"last_{c}")) for c in ("i", "j"))
+    pairs = x.join(y, "grp").where("i < j AND NOT coalesce(owner_i = owner_j, false) OR i = j AND least_i <> last_i").select("grp", "i", "j")
+    pairs = write_and_reread(pairs, "tiles")
+    sides = pairs.select("grp", "i", "j", F.col("i").alias("chunk")).unionByName(pairs.where("i < j").select("grp", "i", "j", F.col("j").alias("chunk")))
+    return dealt.join(sides, ["grp", "chunk"]).select("grp", "i", "j", "key", "label")
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """(key, hashes) of the classes needed, each computed from one of its documents."""
+    ids = needed.join(classes.select("key", F.col("doc_id").alias("of_id")), "key")
+    texts = docs.join(ids.select("of_id").distinct(), F.col("doc_id") == F.col("of_id")).select("text")
+    return write_and_reread(texts.mapInArrow(_sets(size), "key binary, hashes binary").join(needed, "key", "left_semi").dropDuplicates(["key"]), "sets", compression="uncompressed")
+
+
+def _components(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of the classes (key, doc_id, bands, packed) that have links."""
     rows = classes.select("key", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("hub")).where("n > 1")
     met = write_and_reread(rows.join(sizes, "band"), "bands")
-    # Large buckets: clusters, however many bands tie them.
-    # A class meets the smallest of its hubs, and its other hubs meet that one: links that copies of one group share, so there are few.
-    hubs = met.where(F.col("n") > SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))  # a hub for each band at most
-    tied = hubs.select(F.element_at("hubs", 1).alias("b"), F.explode(F.array_append("hubs", F.col("key"))).alias("a")).where("a <> b").select("a", "b").distinct()
-    clusters = write_and_reread(connected_components(tied), "clusters")
-    # Small buckets: pairs, each once, unless a cluster has both.
+    # Pairs of small buckets, and of each class with the smallest hub of its larger ones.
     small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("band").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # SMALL_BUCKET keys at most
-    pairs = small.select(F.explode(F.expr("flatten(transform(sequence(1, size(keys) - 1), i -> transform(slice(keys, i + 1, size(keys)), y -> named_struct('a', keys[i - 1], 'b', y))))")).alias("p")).select("p.a", "p.b").distinct()
-    of = lambda side: clusters.select(F.col("node").alias(side), F.col("component").alias(f"cluster_{side}"))
-    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(cluster_a = cluster_b, false)").select("a", "b")
+    pairs = small.select(F.explode(F.expr("flatten(transform(sequence(1, size(keys) - 1), i -> transform(slice(keys, i + 1, size(keys)), y -> named_struct('a', keys[i - 1], 'b', y))))")).alias("p")).select("p.a", "p.b")
+    stars = met.where(F.col("n") > SMALL_BUCKET).groupBy(F.col("key").alias("b")).agg(F.min("hub").alias("a")).where("a <> b").select("a", "b")
     packed = classes.select("key", "packed")
+    pairs = pairs.unionByName(stars).distinct()
     pairs = pairs.join(packed.select(F.col("key").alias("a"), F.col("packed").alias("packed_a")), "a").join(packed.select(F.col("key").alias("b"), F.col("packed").alias("packed_b")), "b")
     pairs = write_and_reread(pairs.where(estimate(F.col("packed_a"), F.col("packed_b")) >= least_estimate(percent)).select("a", "b"), "pairs")
-    # Full sets of the classes that are compared, each computed once from one of its documents.
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(clusters.select(F.col("node").alias("key"))).distinct()
-    ids = needed.join(classes.select("key", F.col("doc_id").alias("of_id")), "key")
-    texts = docs.join(ids.select("of_id").distinct(), F.col("doc_id") == F.col("of_id")).select("text")
-    sets = write_and_reread(texts.mapInArrow(_sets(size), "key binary, hashes binary").join(needed, "key", "left_semi").dropDuplicates(["key"]), "sets", compression="uncompressed")
+    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = _full_sets(docs, classes, needed, size)
     with_sets = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("hashes_b")), "b")
-    confirmed = with_sets.mapInArrow(_confirm_pairs(percent), "a binary, b binary")
-    chunks = clusters.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / TILE).cast("int").alias("chunks"))
-    members = clusters.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select("component", F.col("node").alias("key"), "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).join(sets, "key")
-    forests = tiles.groupBy("component", "i", "j").applyInArrow(_confirm_tile(percent), "a binary, b binary")
-    return confirmed.unionByName(forests)
+    labels = connected_components(with_sets.mapInArrow(_confirm_pairs(percent), "a binary, b binary"))
+    # Larger buckets with several labels; of those that hold the same classes, one.
+    named = met.where(F.col("n") > SMALL_BUCKET).select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("label"))
+    named = write_and_reread(named, "labelled")
+    mixed = named.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("last"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")).where("least <> last")
+    mixed = mixed.groupBy("x", "y").agg(F.min("band").alias("band")).select("band")
+    mixed = write_and_reread(mixed, "mixed")
+    if mixed.isEmpty():
+        return labels
+    tiles = _tiles(named.join(mixed, "band", "left_semi").withColumnRenamed("band", "grp"), SIGNATURE_TILE)
+    near = write_and_reread(tiles.join(packed, "key").groupBy("grp", "i", "j").applyInArrow(_estimate_tile(percent), "a binary, b binary").distinct(), "near")
+    if near.isEmpty():
+        return labels
+    trees = connected_components(near)
+    more = trees.select(F.col("node").alias("key")).join(sets.select("key"), "key", "left_anti")
+    sets = sets.unionByName(_full_sets(docs, classes, more, size))
+    members = trees.select(F.col("node").alias("key"), F.col("component").alias("grp")).join(labels.withColumnRenamed("node", "key"), "key", "left").select("grp", "key", F.coalesce("component", "key").alias("label"))
+    links = _tiles(members, TILE).join(sets, "key").groupBy("grp", "i", "j").applyInArrow(_confirm_tile(percent), "a binary, b binary")
+    # Links between labels join their components.
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"label_{side}"))
+    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
+    above = connected_components(joined).withColumnRenamed("node", "label").withColumnRenamed("component", "top")
+    alone = above.select(F.col("label").alias("node"), F.col("label").alias("component")).join(labels, "node", "left_anti")
+    return labels.unionByName(alone).withColumnRenamed("component", "label").join(above, "label", "left").select("node", F.coalesce("top", "label").alias("component"))
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -244,7 +306,7 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple[s
     signed = write_and_reread(rows.mapInArrow(_signatures(size, carry), schema), "signatures")
     first = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "packed"), "doc_id").alias("s"))
     classes = write_and_reread(first.select("key", "doc_id", "s.bands", "s.packed"), "classes")
-    found = connected_components(_links(rows, classes, size, percent))
+    found = _components(rows, classes, size, percent)
     named = classes.join(found, classes.key == found.node, "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "component").select(F.col("key").alias("at"), "component_id")

@@ -49,7 +49,8 @@ def near_texts(words):
 
 @pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
 def test_near_dedup(spark, edge_texts, words, size, percent, monkeypatch):
-    monkeypatch.setattr(near_dedup, "TILE", 20)  # several tiles for one group
+    monkeypatch.setattr(near_dedup, "TILE", 8)  # several tiles for one group
+    monkeypatch.setattr(near_dedup, "SIGNATURE_TILE", 8)
     texts = edge_texts + near_texts(words)
     expected = brute_near(list(enumerate(texts)), size, percent)
     assert sorted(map(tuple, near_dedup.near_dedup(table(spark, texts), size, percent).collect())) == expected
@@ -127,3 +128,58 @@ def test_equal_runs_group_equal_rows():
     for at, g in zip(order, group):
         assert seen.setdefault(int(g), tuple(rows[at])) == tuple(rows[at])
     assert len(seen) == len({tuple(r) for r in rows})
+
+
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
+def test_near_dedup_finds_the_links_of_the_given_texts(spark, sf_dir, size, percent):
+    """Recall of links between different texts, by brute force over all pairs: bands, estimate and tiles lose next to none."""
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs, size, percent).collect()}
+    texts = [(r.doc_id, near_dedup.shingle_set(r.text, size)) for r in docs.select("doc_id", "text").collect()]
+    texts = [(i, s) for i, s in texts if len(s)]
+    both = near_dedup.intersections([s for _, s in texts])
+    n = np.diag(both)
+    a, b = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
+    found = [got[texts[i][0]] == got[texts[j][0]] for i, j in zip(a, b)]
+    assert len(found) > 50 and sum(found) >= 0.99 * len(found)
+
+
+def chain(n, step, length):
+    """Texts that each share (length - step) / (length + step) of their words' runs, about, with the next."""
+    return [" ".join(f"w{i * step + k}" for k in range(length)) for i in range(n)]
+
+
+def test_weak_ties_make_no_tiles_of_full_sets(spark, monkeypatch):
+    """A long chain of candidates that are alike by a third: signatures tell them apart, no full sets meet in tiles."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 1)
+
+    def never(percent):
+        raise AssertionError("full sets met")
+
+    monkeypatch.setattr(near_dedup, "_confirm_tile", never)
+    docs = table(spark, chain(1500, 30, 62))
+    assert near_dedup.near_dedup(docs, 3, 85).where("NOT kept").count() == 0
+
+
+def test_copies_of_one_text_need_no_tiles(spark, monkeypatch):
+    """All are linked with their hub, so no bucket has two labels."""
+    monkeypatch.setattr(near_dedup, "_tiles", None)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(0, 400, 2)]
+    got = near_dedup.near_dedup(table(spark, texts), 3, 85).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_tiles_bring_labels_together(spark):
+    rnd = random.Random(11)
+    rows = [(g, f"k{g}-{i}".encode(), rnd.choice([b"a"] * 30 + [f"l{i % 7}".encode(), f"m{i}".encode()])) for g, n in ((1, 150), (2, 9), (3, 1)) for i in range(n)]
+    members = spark.createDataFrame(rows, "grp long, key binary, label binary")
+    met, largest = set(), 0
+    tiles = defaultdict(list)
+    for r in near_dedup._tiles(members, 16).collect():
+        tiles[r.grp, r.i, r.j].append((bytes(r.key), bytes(r.label)))
+    for (g, *_), inside in tiles.items():
+        largest = max(largest, len(inside))
+        met |= {(g, a, b) for a, la in inside for b, lb in inside if la != lb}
+    assert met == {(g, a, b) for g, a, la in rows for h, b, lb in rows if g == h and la != lb}
+    assert largest <= 60 and all(len({label for _, label in inside}) > 1 for inside in tiles.values())
