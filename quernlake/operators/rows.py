@@ -44,3 +44,35 @@ def keyset_page(df: DataFrame, order: list[str], size: int, after: tuple | None
             past, same = past | (same & (F.col(c) > F.lit(v))), same & (F.col(c) == F.lit(v))
         df = df.where(past)
     return df.orderBy(*order).limit(size)
+
+
+def match_counts(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, most: int = 10_000) -> DataFrame:
+    """How many texts contain each pattern: pattern, n (patterns that none contains are left out).
+
+    The texts are scanned once. Up to `most` patterns go to every task as one array; more are joined, in a nested loop over parts of both tables.
+    """
+    if patterns.count() > most:
+        pairs = texts.join(patterns.hint("shuffle_replicate_nl"), F.col(text).contains(F.col(pattern)))
+        return pairs.groupBy(pattern).agg(F.count("*").alias("n"))
+    held = F.array(*[F.lit(r[0]) for r in patterns.select(pattern).collect()]).cast("array<string>")  # `most` strings
+    return texts.select(F.explode(F.filter(held, lambda p: F.col(text).contains(p))).alias(pattern)).groupBy(pattern).agg(F.count("*").alias("n"))
+
+
+def page_with_total(df: DataFrame, order: list[str], offset: int | None = None, limit: int | None = None) -> DataFrame:
+    """Rows offset .. offset + limit in order, each with the number of all rows as total_count. Offset and limit come together, or neither does."""
+    if (offset is None) != (limit is None):
+        raise ValueError("offset and limit must be provided together")
+    if offset is None:
+        return df.orderBy(*order)
+    if not all(isinstance(n, int) and not isinstance(n, bool) for n in (offset, limit)):
+        raise ValueError("offset and limit must be numbers")
+    return df.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(df.agg(F.count("*").alias("total_count"))))
+
+
+def frame_excluding(df: DataFrame, keys: list[str], order: str, value: str, name: str, exclude: str) -> DataFrame:
+    """The sum of a value over a partition, from its start to the row's last peer in the order, without the row's peers ("group") or without its peers but itself ("ties")."""
+    if exclude not in ("group", "ties"):
+        raise ValueError("exclude is group or ties")
+    upto = F.sum(value).over(Window.partitionBy(*keys).orderBy(order))
+    peers = F.sum(value).over(Window.partitionBy(*keys, order))
+    return df.withColumn(name, upto - peers + (F.lit(0) if exclude == "group" else F.col(value)))

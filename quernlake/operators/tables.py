@@ -5,9 +5,11 @@ Nothing is changed in place: write the result to a new folder, or a new partitio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True).select(table.columns)
@@ -24,6 +26,25 @@ def updated_rows(table: DataFrame, where: Column, values: dict[str, Column]) ->
     return update(table.where(where), F.lit(True), values)
 
 
+def deleted_rows(table: DataFrame, where: Column) -> DataFrame:
+    """What a delete returns: the rows that go."""
+    return table.where(F.coalesce(where, F.lit(False)))
+
+
+def inserted_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """What an insert returns: the added rows, with all columns of the table."""
+    return insert(table.where("false"), rows)
+
+
+def affected(*changed: DataFrame) -> DataFrame:
+    """Rows that each of several statements changed, and their sums so far: statement, rows, affected."""
+    counts = None
+    for i, df in enumerate(changed):
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(i + 1).alias("statement"), "rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.withColumn("affected", F.sum("rows").over(Window.orderBy("statement")))  # one row for each statement
+
+
 def delete(table: DataFrame, where: Column) -> DataFrame:
     return table.where(~F.coalesce(where, F.lit(False)))
 
@@ -55,14 +76,9 @@ def merge(table: DataFrame, rows: DataFrame, keys: list[str], updates: dict[str,
     return kept.unionByName(rows.join(table.select(keys), keys, "left_anti").select(table.columns))
 
 
-def with_serial(rows: DataFrame, column: str, start: int, order: list[str]) -> DataFrame:
-    """Ids from start on, in order, without one task getting all rows: counts of range partitions, then numbers within each."""
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_within", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.join(before, "_part").withColumn(column, F.col("_before") + F.col("_within") + start).drop("_part", "_within", "_before")
+def with_serial(rows: DataFrame, column: str, start: int, order: list[str], parts: int | None = None) -> DataFrame:
+    """Ids from start on, in order, without one task getting all rows."""
+    return numbered(rows, column, order, start, parts=parts)
 
 
 def check_unique(table: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, geo, ids, pairs, paths, ranges, text, vector
-from ..operators import changes, graphs, queue, rows, search, tables, views
+from ..operators import changes, graphs, ordered, queue, rows, search, tables, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -169,6 +169,40 @@ def keyset_page(read):
     return rows.keyset_page(read("orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 50, (100000.0, 0))
 
 
+# one order over a whole table
+@query("SELECT s_suppkey, round(percent_rank() OVER (ORDER BY s_acctbal, s_suppkey), 9) AS p, round(cume_dist() OVER (ORDER BY s_acctbal, s_suppkey), 9) AS c FROM supplier")
+def window_percent(read):
+    return ordered.percent_ranks(read("supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"], "p", "c").select("s_suppkey", F.round("p", 9).alias("p"), F.round("c", 9).alias("c"))
+
+
+@query("SELECT s_suppkey, CAST(ntile(4) OVER (ORDER BY s_acctbal, s_suppkey) AS INT) AS quarter FROM supplier")
+def window_ntile(read):
+    return ordered.ntile(read("supplier").select("s_suppkey", "s_acctbal"), "quarter", 4, ["s_acctbal", "s_suppkey"]).select("s_suppkey", "quarter")
+
+
+@query("SELECT k, CAST(pos AS INT) AS pos FROM (SELECT k, row_number() OVER (ORDER BY k NULLS LAST, c_custkey) AS pos, c_custkey FROM (SELECT nullif(c_nationkey, 3) AS k, c_custkey FROM customer)) WHERE pos > 5")
+def order_nulls_last(read):
+    c = read("customer").select(F.nullif(F.col("c_nationkey"), F.lit(3)).alias("k"), "c_custkey")
+    return ordered.numbered(c, "pos", rows.nulls_last("k", "c_custkey")).where("pos > 5").select("k", F.col("pos").cast("int").alias("pos"))
+
+
+# many ranges and patterns in one job
+@query("SELECT r.lo, count(l_quantity) AS n, round(avg(l_quantity), 6) AS avg_quantity FROM (SELECT n_nationkey * 4 + k.k AS lo FROM nation, (VALUES (0), (1), (2), (3)) AS k(k)) r LEFT JOIN lineitem ON CAST(floor(l_partkey / 10) AS INT) = r.lo GROUP BY r.lo")
+def range_agg_100(read):
+    """The table is summed by range before the ranges asked for are joined: one scan, and as many rows as ranges to shuffle."""
+    asked = read("nation").select("n_nationkey", F.explode(F.array(*map(F.lit, range(4)))).alias("k")).select((F.col("n_nationkey") * 4 + F.col("k")).cast("int").alias("lo"))
+    sums = read("lineitem").groupBy(F.floor(F.col("l_partkey") / 10).cast("int").alias("lo")).agg(F.count("l_quantity").alias("n"), F.round(F.avg("l_quantity"), 6).alias("avg_quantity"))
+    return asked.join(sums, "lo", "left").select("lo", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "avg_quantity")
+
+
+@query("SELECT n_name, count(p_partkey) AS n FROM nation LEFT JOIN part ON p_name LIKE concat('%', lower(substring(n_name, 1, 2)), '%') GROUP BY n_name")
+def like_100(read):
+    """One scan of the large table, each row counting for all patterns that it matches; patterns are one row for each nation."""
+    n = read("nation").select("n_name", F.lower(F.substring("n_name", 1, 2)).alias("pattern"))
+    hits = rows.match_counts(read("part").select("p_name"), "p_name", n.select("pattern").distinct(), "pattern")
+    return n.join(hits, "pattern", "left").groupBy("n_name").agg(F.sum(F.coalesce("n", F.lit(0))).cast("bigint").alias("n"))
+
+
 # changes to tables
 _EDITED = "SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal FROM customer WHERE c_custkey % 13 = 0"
 
@@ -188,6 +222,12 @@ def update_returning(read):
     return tables.updated_rows(read("customer").select("c_custkey", "c_acctbal"), F.col("c_custkey") % 7 == 0, {"c_acctbal": F.col("c_acctbal") + 1})
 
 
+@query("SELECT 1 AS statement, count(*) AS rows, count(*)::BIGINT AS affected FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT 2, (SELECT count(*) FROM customer WHERE c_custkey % 11 = 0), count(*)::BIGINT FROM (SELECT 1 FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT 1 FROM customer WHERE c_custkey % 11 = 0)")
+def affected_rows(read):
+    c = read("customer").select("c_custkey", "c_acctbal")
+    return tables.affected(tables.updated_rows(c, F.col("c_custkey") % 7 == 0, {"c_acctbal": F.col("c_acctbal") + 1}), tables.deleted_rows(c, F.col("c_custkey") % 11 == 0))
+
+
 @query("WITH s AS (SELECT c_custkey + 50 AS c_custkey, -c_acctbal AS c_acctbal FROM customer WHERE c_custkey % 3 = 0) SELECT * FROM s UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM s)")
 def upsert(read):
     t = read("customer").select("c_custkey", "c_acctbal")
@@ -231,23 +271,51 @@ def change_fold(read):
     return changes.fold(before, changes.changes(before, _edited(before), "c_custkey"), "c_custkey")
 
 
+@query("SELECT c_custkey, c_name, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey)::BIGINT AS position FROM (" + _EDITED + ")")
+def change_order(read):
+    """A result in order, rebuilt from its changes alone: rows, and the chain of their predecessors."""
+    before = read("customer").select("c_custkey", "c_name", "c_acctbal")
+    after, order = _edited(before), ["c_acctbal", "c_custkey"]
+    first = changes.with_predecessor(before, "c_custkey", order)
+    feed = changes.changes(before, after, "c_custkey", order)
+    return changes.in_list_order(changes.fold(first, feed, "c_custkey"), "c_custkey").select("c_custkey", "c_name", "c_acctbal", "position")
+
+
+@query("WITH c AS (" + _EDITED + ") SELECT 'RESET' AS op, NULL::BIGINT AS c_custkey, 1 AS rank UNION ALL SELECT 'INSERT', c_custkey, 2 FROM c")
+def change_reset(read):
+    """A feed whose last state is lost starts anew."""
+    return changes.reset(_edited(read("customer").select("c_custkey", "c_name", "c_acctbal")), "c_custkey").select(F.col(changes.OP).alias("op"), F.col("c_custkey").cast("bigint").alias("c_custkey"), changes.op_rank().alias("rank"))
+
+
+@query("WITH p AS (SELECT c_custkey, c_name, c_acctbal FROM customer), c AS (" + _EDITED + ") SELECT chr(34) || 'customer' || chr(34) || ',' || CASE WHEN p.c_custkey IS NULL THEN 'I' WHEN c.c_custkey IS NULL THEN 'D' ELSE 'U' END || ',' || chr(34) || 'c_custkey' || chr(34) || '=' || chr(39) || coalesce(c.c_custkey, p.c_custkey)::VARCHAR || chr(39) AS payload FROM p FULL JOIN c ON p.c_custkey = c.c_custkey WHERE p.c_custkey IS NULL OR c.c_custkey IS NULL OR p.c_acctbal IS DISTINCT FROM c.c_acctbal")
+def change_notifications(read):
+    before = read("customer").select("c_custkey", "c_name", "c_acctbal")
+    return changes.notifications(changes.changes(before, _edited(before), "c_custkey"), "customer", ["c_custkey"])
+
+
 @query("SELECT s_suppkey, s_acctbal, lag(s_suppkey) OVER (ORDER BY s_acctbal, s_suppkey) AS after FROM supplier")
 def live_order(read):
     return changes.with_predecessor(read("supplier").select("s_suppkey", "s_acctbal"), "s_suppkey", ["s_acctbal", "s_suppkey"]).withColumnRenamed(changes.AFTER, "after")
 
 
-@query("WITH m AS (SELECT event_id AS lsn, user_id, value, CASE WHEN event_id % 5 = 0 THEN 'delete' ELSE 'update' END AS op FROM events WHERE event_id <= 700) SELECT user_id, value FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) = 1 AND op <> 'delete'")
+_LOG = "SELECT event_id AS lsn, user_id, value, CASE WHEN event_id % 5 = 0 THEN 'delete' ELSE 'insert' END AS op FROM events"
+
+
+def _log(read) -> DataFrame:
+    return read("events").select(F.col("event_id").alias("lsn"), F.lit(0).alias("seq"), F.when(F.col("event_id") % 5 == 0, "delete").otherwise("insert").alias("op"), "user_id", "value")
+
+
+@query(f"WITH m AS ({_LOG}) SELECT user_id, value FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) = 1 AND op <> 'delete'")
 def log_apply(read):
-    m = read("events").select(F.col("event_id").alias("lsn"), F.lit(0).alias("seq"), F.when(F.col("event_id") % 5 == 0, "delete").otherwise("update").alias("op"), "user_id", "value")
-    empty = m.where("false").select("user_id", "value")
-    half = changes.apply_log(empty, m, ["user_id"], frontier=400)
-    return changes.apply_log(half, m, ["user_id"], frontier=700, done=400)
+    """The whole log at once."""
+    m = _log(read)
+    return changes.apply_log(m.where("false").select("user_id", "value"), m, ["user_id"])
 
 
-@query("WITH m AS (SELECT event_id AS lsn, user_id, value, CASE WHEN event_id % 5 = 0 THEN 'delete' ELSE 'update' END AS op FROM events) SELECT user_id, value FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) = 1 AND op <> 'delete'")
+@query(f"WITH m AS ({_LOG}) SELECT user_id, value FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) = 1 AND op <> 'delete'")
 def log_apply_whole(read):
     """The whole log, whatever its length, in two steps: up to half of its last lsn, then up to its end."""
-    m = read("events").select(F.col("event_id").alias("lsn"), F.lit(0).alias("seq"), F.when(F.col("event_id") % 5 == 0, "delete").otherwise("update").alias("op"), "user_id", "value")
+    m = _log(read)
     empty = m.where("false").select("user_id", "value")
     last = m.agg(F.max("lsn")).first()[0]
     if last is None:
@@ -256,6 +324,28 @@ def log_apply_whole(read):
     return changes.apply_log(half, m, ["user_id"], frontier=last, done=last // 2)
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || '!' ELSE c_name END AS c_name, CASE WHEN c_custkey % 2 = 0 THEN -c_acctbal ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0")
+def log_apply_partial(read):
+    """Updates of one column each leave the other as it was; deletes follow them, and updates of rows that are gone change nothing."""
+    c = read("customer").select("c_custkey", "c_name", "c_acctbal")
+    message = lambda where, seq, op, present, **new: c.where(where).select("c_custkey", *[new.get(x, F.lit(None).cast(t)).alias(x) for x, t in c.dtypes[1:]], F.lit(seq).cast("bigint").alias("seq"), F.lit(10 + seq).cast("bigint").alias("lsn"), F.lit(op).alias("op"), F.array(*map(F.lit, present)).cast("array<string>").alias("present"))
+    m = message("c_custkey % 3 = 0", 1, "update", ["c_custkey", "c_name"], c_name=F.concat("c_name", F.lit("!")))
+    m = m.unionByName(message("c_custkey % 2 = 0", 2, "update", ["c_custkey", "c_acctbal"], c_acctbal=-F.col("c_acctbal")))
+    m = m.unionByName(message("c_custkey % 7 = 0", 3, "delete", [])).unionByName(message("c_custkey % 14 = 0", 4, "update", ["c_name"], c_name=F.lit("lost")))
+    return changes.apply_log(c, m, ["c_custkey"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'moved in' ELSE c_name END AS c_name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 5 = 0")
+def log_refetch(read):
+    """A must-refetch empties the table and what was told before; then inserts, and rows that a query moves in, over those that are there."""
+    c = read("customer").select("c_custkey", "c_name")
+    told = lambda df, seq, lsn, op, move_in: df.select("c_custkey", "c_name", F.lit(seq).cast("bigint").alias("seq"), F.lit(lsn).cast("bigint").alias("lsn"), F.lit(op).alias("op"), F.lit(move_in).alias("move_in"))
+    nothing = c.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("c_custkey"), F.lit(None).cast("string").alias("c_name"))
+    m = told(c, 1, 50, "insert", False).unionByName(told(nothing, 2, None, changes.MUST_REFETCH, False)).unionByName(told(c.where("c_custkey % 2 = 0"), 3, 7, "insert", False))
+    m = m.unionByName(told(c.where("c_custkey % 5 = 0").withColumn("c_name", F.lit("moved in")), 4, None, "insert", True)).unionByName(told(nothing, 5, 8, changes.UP_TO_DATE, False))
+    return changes.apply_stream(c, m, ["c_custkey"], done=60).table
+
+
 @query("SELECT min(done)::BIGINT AS frontier FROM (SELECT event_type, max(event_id) AS done FROM events GROUP BY event_type)")
 def log_frontier(read):
     return changes.frontier(read("events"), "event_type", "event_id")
@@ -300,9 +390,9 @@ def fts_prefix(read):
     return read("documents").where(search.has_prefix(F.col("text"), "thre")).select("doc_id")
 
 
-@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY term HAVING count(*) >= 20")
+@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY term")
 def inverted_index(read):
-    return search.postings(read("documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
+    return search.postings(read("documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 

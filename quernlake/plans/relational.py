@@ -75,18 +75,15 @@ SHARED_SQL = {
     # windows
     "window_row_number": "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS rn FROM {orders}",
     "window_rank": "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS INT) AS r, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS INT) AS d FROM {part}",
-    "window_percent": "SELECT s_suppkey, round(percent_rank() OVER (ORDER BY s_acctbal, s_suppkey), 9) AS p, round(cume_dist() OVER (ORDER BY s_acctbal, s_suppkey), 9) AS c FROM {supplier}",
     "window_lag": "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after FROM {orders}",
     "window_first_last": "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS n FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
     "window_running": "SELECT l_orderkey, l_linenumber, l_partkey, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM {lineitem}",
     "window_moving": "SELECT l_orderkey, l_linenumber, l_partkey, round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS moving FROM {lineitem}",
     "window_range_frame": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM {part}",
-    "window_ntile": "SELECT s_suppkey, CAST(ntile(4) OVER (ORDER BY s_acctbal, s_suppkey) AS INT) AS quarter FROM {supplier}",
     "window_agg_share": "SELECT p_partkey, round(p_retailprice / sum(p_retailprice) OVER (PARTITION BY p_brand), 9) AS share FROM {part}",
     # order, limit, sets
     "top_k": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "limit_offset": "SELECT c_custkey FROM {customer} ORDER BY c_acctbal, c_custkey LIMIT 10 OFFSET 25",
-    "order_nulls_last": "SELECT k, CAST(pos AS INT) AS pos FROM (SELECT k, row_number() OVER (ORDER BY k NULLS LAST, c_custkey) AS pos, c_custkey FROM (SELECT nullif(c_nationkey, 3) AS k, c_custkey FROM {customer})) WHERE pos > 5",
     "order_expression": "SELECT s_suppkey FROM {supplier} ORDER BY abs(s_acctbal - 5000), s_suppkey LIMIT 7",
     "union_all": "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}",
     "union_distinct": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}",
@@ -104,9 +101,6 @@ SHARED_SQL = {
     "bit_functions": "SELECT p_partkey, p_size & 12 AS a, p_size | 3 AS o, xor_ AS x, CAST(bit_count(p_size) AS INT) AS n FROM (SELECT *, (p_size | 5) - (p_size & 5) AS xor_ FROM {part})",
     "date_parts": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(quarter(o_orderdate) AS INT) AS q, CAST(extract(hour FROM o_orderdate) AS INT) AS h FROM {orders}",
     "date_filter": "SELECT count(*) AS n FROM {orders} WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1996-01-01'",
-    # many ranges in one job, then bulk shapes
-    "range_agg_100": "SELECT r.lo, count(l_quantity) AS n, round(avg(l_quantity), 6) AS avg_quantity FROM (SELECT n_nationkey * 4 + k.k AS lo FROM {nation}, (VALUES (0), (1), (2), (3)) AS k(k)) r LEFT JOIN {lineitem} ON CAST(floor(l_partkey / 10) AS INT) = r.lo GROUP BY r.lo",
-    "like_100": "SELECT n_name, count(p_partkey) AS n FROM {nation} LEFT JOIN {part} ON p_name LIKE concat('%', lower(substring(n_name, 1, 2)), '%') GROUP BY n_name",
 }
 
 #: Pairs of texts where the dialects differ: Spark's, then the oracle's.

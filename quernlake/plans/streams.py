@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
 from ..streaming import events as ev
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster shares; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    at = _shared(spark)
+    at = scratch_path(spark, "stream")
     ev.drain(stream, f"{at}/out", f"{at}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import changes
+from ..operators.changes import changes, reset
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 16) -> DataFrame:
@@ -52,19 +53,24 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def live_changes(stream: DataFrame, result: Callable[[], DataFrame], key: str, snapshots: str, callback: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+def live_changes(stream: DataFrame, result: Callable[[], DataFrame], key: str, snapshots: str, callback: Callable[[DataFrame], None], checkpoint: str, order: list[str] | None = None) -> StreamingQuery:
     """After each batch of a stream of commits, the changes of a result since the batch before.
 
     result() gives the result as it is now; it is written as a snapshot under `snapshots`, so the difference is taken between two tables on disk, on executors,
     and only the changes reach the callback. The first batch changes nothing into all rows. A batch that is run again after a failure overwrites its
-    own snapshot and gives the same changes.
+    own snapshot and gives the same changes. If the snapshot before is lost, the feed says so: a RESET, then all rows.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         result().write.mode("overwrite").parquet(f"{snapshots}/{number}")
         now = spark.read.parquet(f"{snapshots}/{number}")
-        before = spark.read.parquet(f"{snapshots}/{number - 1}") if number else now.where("false")
-        callback(changes(before, now, key))
+        if not number:
+            return callback(changes(now.where("false"), now, key, order))
+        try:
+            before = spark.read.parquet(f"{snapshots}/{number - 1}")
+        except AnalysisException:  # no such path
+            return callback(reset(now, key, order))
+        return callback(changes(before, now, key, order))
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
