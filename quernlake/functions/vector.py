@@ -38,6 +38,17 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return F.when(any_ > 0, 1 - both / any_).otherwise(F.lit(0.0))
 
 
+def sparse(v: Column) -> Column:
+    """An array as a map of the places (from 1) and values that are not 0."""
+    return F.map_filter(F.map_from_arrays(F.sequence(F.lit(1), F.size(v)), v), lambda k, x: x != 0)
+
+
+def sparse_inner(a: Column, b: Column) -> Column:
+    """The inner product of two sparse vectors: over the places that both have."""
+    both = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    return F.aggregate(both, F.lit(0.0), lambda s, k: s + F.element_at(a, k).cast("double") * F.element_at(b, k).cast("double"))
+
+
 METRICS = {"l2": l2_distance, "l1": l1_distance, "cosine": cosine_distance, "inner": lambda a, b: -inner_product(a, b)}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,11 @@ def keyset_page(df: DataFrame, order: list[str], size: int, after: tuple | None
     return df.orderBy(*order).limit(size)
 
 
+def normal_rand(spark: SparkSession, n: int, mean: float, deviation: float, seed: int) -> DataFrame:
+    """n normally distributed numbers, the same for the same seed and number of partitions."""
+    return spark.range(n).select((F.randn(seed) * deviation + mean).alias("value"))
+
+
 def match_counts(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, most: int = 10_000) -> DataFrame:
     """How many texts contain each pattern: pattern, n (patterns that none contains are left out).
 

@@ -21,3 +21,20 @@ def refresh(stored: DataFrame, delta: DataFrame, keys: list[str], sums: list[str
 def signed(added: DataFrame, removed: DataFrame) -> DataFrame:
     """Changes with a weight column, for partials()."""
     return added.withColumn("weight", F.lit(1)).unionByName(removed.withColumn("weight", F.lit(-1)))
+
+
+def join_delta(a: DataFrame, delta_a: DataFrame, b: DataFrame, delta_b: DataFrame, keys: list[str]) -> DataFrame:
+    """What signed changes of two tables (weight 1 or -1) do to their join: changes of one meet the other as it was, or, for the second, as the first now is.
+
+    a and b are the tables before the changes; the result has a weight too, and costs joins with changes alone.
+    """
+    now_a = a.withColumn("weight", F.lit(1)).unionByName(delta_a)
+    first = delta_a.join(b, keys)
+    second = now_a.join(delta_b.withColumnRenamed("weight", "_w"), keys).withColumn("weight", F.col("weight") * F.col("_w")).drop("_w")
+    return first.unionByName(second)
+
+
+def distinct_partials(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Stored form of a DISTINCT view: how often each row is there. refresh() with all columns as keys drops what is there no more."""
+    columns = [c for c in df.columns if c != "weight"]
+    return partials(df, columns, {}, weight)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extensions, relational, streams
+from . import extensions, relational, streams, surface
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (relational, extensions, streams):
+for module in (relational, extensions, streams, surface):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
