@@ -5,10 +5,13 @@ an anchor: of all windows of `length` bytes, each belongs to the anchor at its s
 windows have equal anchors, so windows can only be equal if their anchors' leading tokens are. The steps:
 
 1. Documents are packed into blocks, a table in the shared folder.
-2. Leading tokens are range-partitioned by sampled splitters; a bucket tells each block which of its tokens another block or document has too.
+2. Leading tokens are range-partitioned by sampled splitters, in the order of their first bytes (within equal ones, by hash); a bucket tells each block which of
+   its tokens another block or document has too, and which of them very many blocks have.
 3. The bytes around such anchors (all windows of the anchor) go to the bucket of their token. There the windows' suffixes are sorted by
    multikey quicksort, eight bytes at a time, ties only being refined; runs of equal windows get the smallest document that holds them.
-   Since a bucket has all windows of its tokens, no run crosses a bucket's boundary; where one token fills several splitters, they are one bucket.
+   Splitters never part a token, and a bucket has all windows of its tokens, so neighbours over a boundary differ and no run crosses it.
+   A token of very many blocks is parted itself: its windows that reach far to the left go by the bytes before it, the others by those behind it. Equal windows
+   have their token at one place, and these bytes in common.
 4. Each block learns the smallest document of its windows, and marks the bytes to remove.
 
 A block sends a token, and the bytes around an anchor, once however many of its documents have them.
@@ -38,6 +41,10 @@ BUCKET_BYTES = 2 << 20
 SPLITTER_SAMPLE = 256
 #: Places whose anchors are looked for at once.
 PIECE_BYTES = 1 << 18
+#: Blocks that have a token beyond which its windows are parted by the bytes beside it.
+HOT_BLOCKS = 128
+#: Bytes beside a token by which its windows are parted.
+BESIDE = 8
 NO_DOCUMENT = np.iinfo(np.int64).max
 BLOCKS = "block bigint, doc_ids binary, lengths binary, data binary, sample array<bigint>"
 
@@ -86,6 +93,14 @@ def token_hashes(buf: np.ndarray, token: int) -> np.ndarray:
     return mix64(out)
 
 
+def leading_keys(buf: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """What tokens are ordered by: their first four bytes (no more than a hash's half tell them apart otherwise), then half of their hash."""
+    first = np.zeros(len(at), np.uint64)
+    for i in range(4):
+        first = (first << np.uint64(8)) | buf[np.minimum(at + i, len(buf) - 1)].astype(np.uint64)
+    return (first << np.uint64(32)) | (hashes >> np.uint64(32))
+
+
 def equal_runs(windows: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort of equally long byte strings given as rows of 64-bit words.
 
@@ -118,7 +133,8 @@ def _pack(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         ids, lengths, data = (np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), b"".join(h[2] for h in held))
         held = []
         head = np.frombuffer(data[:PIECE_BYTES], np.uint8)  # anchors across documents serve as well here
-        sample = anchors(head, np.arange(len(head)) + length <= len(head), length)[3]
+        _, _, at, found = anchors(head, np.arange(len(head)) + length <= len(head), length)
+        sample = leading_keys(head, at, found) if min(TOKEN, length) >= 4 else found
         sample = sample[:: max(1, len(sample) // SPLITTER_SAMPLE)].view(np.int64)
         row = [(part << 32) | made, ids.tobytes(), lengths.tobytes(), pa.compress(data, "zstd", asbytes=True), sample.tolist()]
         made += 1
@@ -155,6 +171,8 @@ class Block:
         for begin, end in zip(np.maximum(self.ends - self.lengths, self.ends - length + 1).tolist(), self.ends.tolist(), strict=True):
             self.whole[begin:end] = False
         self.first, self.last, self.at, self.token = self._anchors(length)
+        if min(TOKEN, length) >= 4:
+            self.token = leading_keys(self.buf, self.at, self.token)
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
     def _anchors(self, length: int) -> tuple[np.ndarray, ...]:
@@ -171,12 +189,37 @@ class Block:
             found.append((first + a, last + a, at + a, token))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def contexts(self, mask: np.ndarray, length: int) -> tuple[list[bytes], np.ndarray]:
-        """The distinct bytes of all windows of the anchors under the mask, and which of them each anchor has."""
+    def shared_runs(self, shared: np.ndarray, hot: np.ndarray, length: int) -> None:
+        """Keep the runs of windows around shared tokens, those of hot ones in two parts; `apart` says by which bytes a part goes (0: by its token)."""
+        if not len(shared):
+            shared = np.array([0], np.uint64)
+        keep = shared[np.minimum(np.searchsorted(shared, self.token), len(shared) - 1)] == self.token
+        first, last, at, token, doc = (x[keep] for x in (self.first, self.last, self.at, self.token, self.doc))
+        apart = np.zeros(len(first), np.uint64)
+        extra = length - min(TOKEN, length)
+        if len(hot) and extra >= 2 * BESIDE:
+            parted = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token)
+            words = np.ndarray((len(self.buf) - 7,), "<u8", self.buf.tobytes(), strides=(1,))
+            # A window that starts at s has the token's place - s bytes before it.
+            middle = at[parted] - extra // 2
+            left, right = first[parted] < middle, last[parted] >= middle
+            l, r = parted[left], parted[right]  # noqa: E741
+            rest = np.ones(len(first), bool)
+            rest[parted] = False
+            before = mix64(token[l] ^ mix64(words[at[l] - BESIDE])) | np.uint64(1)
+            behind = mix64(token[r] + mix64(words[at[r] + min(TOKEN, length)])) | np.uint64(1)
+            firsts = (first[rest], first[l], np.maximum(first[r], at[r] - extra // 2))
+            lasts = (last[rest], np.minimum(last[l], at[l] - extra // 2 - 1), last[r])
+            first, last, apart = np.concatenate(firsts), np.concatenate(lasts), np.concatenate([apart[rest], before, behind])
+            token, doc = (np.concatenate([x[rest], x[l], x[r]]) for x in (token, doc))
+        self.first, self.last, self.token, self.doc, self.apart = first, last, token, doc, apart
+
+    def contexts(self, length: int) -> tuple[list[bytes], np.ndarray]:
+        """The distinct bytes of the windows of the runs, and which of them each run has."""
         data = self.buf.tobytes()
-        seen: dict[bytes, int] = {}
-        which = [seen.setdefault(data[a : b + length], len(seen)) for a, b in zip(self.first[mask].tolist(), self.last[mask].tolist(), strict=True)]
-        return list(seen), np.array(which, np.int64)
+        seen: dict[tuple[bytes, int], int] = {}
+        which = [seen.setdefault((data[a : b + length], p), len(seen)) for a, b, p in zip(self.first.tolist(), self.last.tolist(), self.apart.tolist(), strict=True)]
+        return [text for text, _ in seen], np.array(which, np.int64)
 
 
 def _rows(names: str, kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -219,34 +262,37 @@ def _shared_tokens(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     size = np.diff(np.r_[first, len(token)])
     held = np.repeat((size > 1) | np.logical_or.reduceat(more, first), size)
+    hot = np.repeat(size > HOT_BLOCKS, size)[held]
     token, owner = token[held], owner[held]
     order = np.argsort(owner, kind="stable")
-    token, owner = token[order], owner[order]
+    token, owner, hot = token[order], owner[order], hot[order]
     cuts = np.searchsorted(owner, np.arange(len(parts) + 1))
-    rows = [(blocks[i], token[cuts[i] : cuts[i + 1]].tobytes()) for i in range(len(parts)) if cuts[i] < cuts[i + 1]]
-    return pa.Table.from_batches([_rows("block tokens", [pa.int64(), pa.binary()], rows)])
+    own = [(blocks[i], token[a:b], hot[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+    return pa.Table.from_batches([_rows("block tokens hot", [pa.int64(), pa.binary(), pa.binary()], [(i, t.tobytes(), t[h].tobytes()) for i, t, h in own])])
+
+
+def _sorted_tokens(table: pa.Table, column: str) -> np.ndarray:
+    return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in table.column(column).to_pylist() if x is not None)]))
 
 
-def _send_contexts(length: int, splitters: np.ndarray):
+def _send_contexts(length: int, splitters: np.ndarray, buckets: int):
     """For each bucket the distinct bytes around the block's shared anchors, with the smallest document that has them."""
 
     def run(key: tuple[pa.Scalar, ...], blocks: pa.Table, tokens: pa.Table) -> pa.Table:
         rows = []
         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         if blocks.num_rows and tokens.num_rows:
-            shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in tokens.column("tokens").to_pylist()]))
             block = Block(*(blocks.column(c)[0].as_py() for c in ("doc_ids", "lengths", "data")), length)
-            at = np.searchsorted(shared, block.token)
-            mask = shared[np.minimum(at, len(shared) - 1)] == block.token
-            contexts, which = block.contexts(mask, length)
-            ids = block.doc_ids[block.doc[mask]]
+            block.shared_runs(_sorted_tokens(tokens, "tokens"), _sorted_tokens(tokens, "hot"), length)
+            contexts, which = block.contexts(length)
+            ids = block.doc_ids[block.doc]
             least, most = np.full(len(contexts), NO_DOCUMENT), np.full(len(contexts), np.iinfo(np.int64).min)
             np.minimum.at(least, which, ids)
             np.maximum.at(most, which, ids)
-            token = np.zeros(len(contexts), np.uint64)
-            token[which] = block.token[mask]
-            order = np.argsort(token, kind="stable")
-            cuts = np.searchsorted(token[order], np.r_[splitters, np.uint64(2**64 - 1)], side="right")
+            to = np.zeros(len(contexts), np.int64)
+            to[which] = np.where(block.apart > 0, (block.apart % np.uint64(buckets)).astype(np.int64), np.searchsorted(splitters, block.token))
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(buckets), side="right")
             begin = 0
             for bucket, end in enumerate(cuts.tolist()):
                 if end > begin:
@@ -288,11 +334,11 @@ def _smallest_documents(length: int):
         within = np.arange(len(owner)) - np.repeat(np.cumsum(width) - width, width)
         start = (end - width - length + 1)[owner] + within
         buf = b"".join(texts) + bytes(8)
-        words = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+        words = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,))  # the order of numbers is that of bytes
         offsets = [*range(0, max(length - 8, 0), 8), max(length - 8, 0)]
-        keys = np.stack([words[start + o] for o in offsets], axis=1)
+        keys = np.stack([words[start + o].astype(np.uint64) for o in offsets], axis=1)
         if length < 8:
-            keys &= np.uint64((1 << (8 * length)) - 1)
+            keys >>= np.uint64(8 * (8 - length))
         order, group = equal_runs(keys, np.arange(len(start)))
         del keys
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -326,14 +372,12 @@ def _remove(length: int, finish):
         del key
         block = Block(*(blocks.column(c)[0].as_py() for c in ("doc_ids", "lengths", "data")), length)
         change = np.zeros(len(block.buf) + 1, np.int32)
-        # Which anchors were sent is told by the tokens; the runs are by the number of the context.
-        shared, runs = [[x for x in tokens.column(c).to_pylist() if x is not None] for c in ("tokens", "runs")]
-        if shared and runs:
-            shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in shared]))
-            at = np.searchsorted(shared, block.token)
-            mask = shared[np.minimum(at, len(shared) - 1)] == block.token
-            _, which = block.contexts(mask, length)
-            first, doc = block.first[mask], block.doc[mask]
+        # Which runs were sent is told by the tokens; what was found is by the number of the context.
+        runs = [x for x in tokens.column("runs").to_pylist() if x is not None]
+        if runs:
+            block.shared_runs(_sorted_tokens(tokens, "tokens"), _sorted_tokens(tokens, "hot"), length)
+            _, which = block.contexts(length)
+            first, doc = block.first, block.doc
             number, begin, end, smallest = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in runs], axis=1)
             order = np.argsort(number, kind="stable")
             number, begin, end, smallest = number[order], begin[order], end[order], smallest[order]
@@ -409,10 +453,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, output: str = "digests", b
         splitters = np.unique(np.array(got, np.float64).astype(np.uint64))
     packed = blocks.drop("sample")
     tokens = packed.mapInArrow(_send_tokens(length, splitters), "bucket int, block bigint, single binary, several binary")
-    shared = write_and_reread(tokens.groupBy("bucket").applyInArrow(_shared_tokens, "block bigint, tokens binary"), "shared-tokens")
-    contexts = packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_contexts(length, splitters), "bucket int, block bigint, numbers binary, sizes binary, extents binary, data binary")
+    shared = write_and_reread(tokens.groupBy("bucket").applyInArrow(_shared_tokens, "block bigint, tokens binary, hot binary"), "shared-tokens")
+    contexts = packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_contexts(length, splitters, len(splitters) + 1), "bucket int, block bigint, numbers binary, sizes binary, extents binary, data binary")
     found = contexts.groupBy("bucket").applyInArrow(_smallest_documents(length), "block bigint, runs binary")
-    told = found.select("block", F.lit(None).cast("binary").alias("tokens"), "runs").unionByName(shared.select("block", "tokens", F.lit(None).cast("binary").alias("runs")))
+    told = found.unionByName(shared, allowMissingColumns=True).select("block", "tokens", "hot", "runs")
     finish, schema = OUTPUTS[output]
     return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_remove(length, finish), schema)
 

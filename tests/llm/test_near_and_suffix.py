@@ -101,8 +101,9 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length, buckets", [(50, 1), (50, 3), (7, 2), (20, 2)])
-def test_remove_repeats(spark, edge_texts, words, length, buckets, monkeypatch):
+@pytest.mark.parametrize("length, buckets, hot", [(50, 1, 1000), (50, 3, 1000), (50, 3, 1), (50, 5, 0), (7, 2, 0), (20, 2, 1000), (40, 3, 0), (3, 1, 0)])
+def test_remove_repeats(spark, edge_texts, words, length, buckets, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)  # with 0, every shared token's windows are parted
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1 << 14)
     monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1 << 12)
     rnd = random.Random(5)
@@ -120,6 +121,25 @@ def test_remove_repeats_spans_and_empty(spark):
     assert suffix_dedup.remove_repeats(docs.where("false")).collect() == []
 
 
+def test_runs_of_hot_tokens_are_parted_by_their_neighbours():
+    rnd = random.Random(8)
+    text = bytes(rnd.randrange(97, 123) for _ in range(3000))
+    block = suffix_dedup.Block(np.array([1], np.int64).tobytes(), np.array([len(text)], np.int64).tobytes(), suffix_dedup.pa.compress(text, "zstd", asbytes=True), 50)
+    windows = {w for a, b in zip(block.first, block.last) for w in range(a, b + 1)}
+    tokens = np.unique(block.token)
+    block.shared_runs(tokens, tokens[::2], 50)
+    assert {w for a, b in zip(block.first, block.last) for w in range(a, b + 1)} == windows == set(range(2951))
+    assert (block.last >= block.first).all() and (block.apart > 0).any() and (block.apart == 0).any()
+
+
+def test_buckets_are_in_the_order_of_leading_bytes():
+    buf = np.frombuffer(b"banana bandana cabana abacus zebra", np.uint8)
+    at = np.array([0, 7, 15, 22, 29])
+    keys = suffix_dedup.leading_keys(buf, at, suffix_dedup.token_hashes(buf, 4)[at])
+    told = [buf[i : i + 4].tobytes() for i in at]
+    assert [told[i] for i in np.argsort(keys)] == sorted(told)
+
+
 def test_equal_runs_group_equal_rows():
     rnd = np.random.Generator(np.random.PCG64(2))
     rows = rnd.integers(0, 3, (500, 4)).astype(np.uint64)
