@@ -168,11 +168,13 @@ class RankOrder:
             return langs, scores
         grams = Ngrams(texts)
         keys, count = runs(grams.keys)
-        # By text, then falling count, then n-gram: the three in one number, its place among the keys standing for the n-gram.
+        # By text, then falling count, then n-gram: the three in one number if they fit, its place among the keys standing for the n-gram.
         owner = keys >> grams.width
-        fall = np.uint64((1 << 22) - 1) - np.minimum(count, (1 << 22) - 1).astype(np.uint64)
-        ranked = np.sort((owner << np.uint64(50)) | (fall << np.uint64(28)) | np.arange(len(keys), dtype=np.uint64)) & np.uint64((1 << 28) - 1)
-        ranked = ranked.astype(np.int64)
+        if len(keys) < 1 << 28 and count.max(initial=0) < 1 << 22:
+            fall = np.uint64((1 << 22) - 1) - count.astype(np.uint64)
+            ranked = (np.sort((owner << np.uint64(50)) | (fall << np.uint64(28)) | np.arange(len(keys), dtype=np.uint64)) & np.uint64((1 << 28) - 1)).astype(np.int64)
+        else:
+            ranked = np.lexsort((-count, owner))
         owner = owner[ranked].astype(np.int64)
         rank = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(texts)))[owner]
         near = rank < self.size
@@ -196,7 +198,7 @@ class RankOrder:
 def identify(docs: DataFrame, model: RankOrder, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """Add the predicted language and its score to docs, whose other columns stay.
 
-    A text that is null or has no letter is `und` with score 0. The score is at least 0.5 otherwise (one language alone: it falls with distance).
+    Each row is judged by its own text, also rows that repeat an id. Of languages at equal distance the first by name is taken. A text that is null or has no letter is `und` with score 0. The score is at least 0.5 otherwise (one language alone: it falls with distance).
     An empty table gives an empty result. lang_col and score_col replace columns of these names.
     """
     spark = docs.sparkSession

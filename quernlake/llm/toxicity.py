@@ -134,7 +134,7 @@ class Trees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: rising scores, and the non-decreasing rates fitted at them."""
+    """Pool adjacent violators: rising scores, and the non-decreasing rates fitted at them, by least squares. Equal scores are one."""
     s, at = np.unique(score, return_inverse=True)
     weight, total = np.bincount(at).astype(float), np.bincount(at, y)
     blocks: list[list[float]] = []
@@ -146,9 +146,9 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rates = np.empty(len(s))
     begin = 0
     for w, t, last in blocks:
-        rates[begin : int(last) + 1] = (t + 0.02) / (w + 1.0)  # a little short of certainty
+        rates[begin : int(last) + 1] = t / w
         begin = int(last) + 1
-    return s, np.maximum.accumulate(rates)
+    return s, rates
 
 
 @dataclass
@@ -163,7 +163,9 @@ class ToxicityModel:
         if self.trees is None or not texts:
             return np.full(len(texts), self.prior)
         margin = self.trees.margin(np.array([features(t, self.lexicon) for t in texts]))
-        return np.clip(np.interp(margin, self.at, self.rates), 0, 1) if len(self.at) else 1 / (1 + np.exp(-margin))
+        plain = 1 / (1 + np.exp(-margin))
+        # A hundredth of the trees' own probability tells apart what isotonic regression gives one rate.
+        return 0.99 * np.clip(np.interp(margin, self.at, self.rates), 0, 1) + 0.01 * plain if len(self.at) else plain
 
 
 def _words_in_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on labelled rows that are not held out: at most about sample_rows of them, taken by a hash of the id.
 
     docs has doc_id and text, labels has doc_id and the integer toxic; rows without a label of 0 or 1 teach nothing. Where one of the
-    labels is missing, every text gets the share of label 1 as its score (0 without labels).
+    labels is missing, every text gets the share of label 1 as its score (0 without labels). An id that labels repeats has label 1 if any row says so;
+    rows of docs that repeat an id are learned from each.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     n = known.count()
@@ -220,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs (doc_id, text; other columns are ignored). Null texts are scored as empty ones."""
+    """doc_id, held_out, score, predicted of each row of docs (doc_id, text; other columns are ignored). Null texts are scored as empty ones, rows that repeat an id each."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON_WORDS words and a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

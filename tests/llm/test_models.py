@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from conftest import table
@@ -47,6 +48,63 @@ def test_ngrams_match_a_plain_count():
     assert set(got) == {0, 2}
 
 
+def plain_ngrams(text):
+    """Counts of n-grams as Ngrams defines them, by plain counting; a space before a letter counts with the shorter n-gram."""
+    squeezed = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+    counts = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(squeezed) - n + 1):
+            g = squeezed[i : i + n]
+            if g[n // 2] != " " or n == 2 and g[0] != " ":
+                counts[g.rjust(3)] += 1
+    return counts
+
+
+def ranked(counts, size):
+    return sorted(counts, key=lambda g: (-counts[g], g))[:size]
+
+
+def as_text(profile):
+    return ["".join(chr(int(g) >> (21 * i) & ((1 << 21) - 1)) for i in (2, 1, 0)) for g in profile]
+
+
+def plain_distances(text, profiles, size):
+    """Out-of-place distances, ties by n-gram."""
+    places = [{g: r for r, g in enumerate(p)} for p in profiles]
+    return [sum(abs(p[g] - r) if g in p else size for r, g in enumerate(ranked(plain_ngrams(text), size))) for p in places]
+
+
+def test_language_is_the_nearest_profile_by_brute_force(spark, edge_texts):
+    docs = corpus(spark, edge_texts, n=20)
+    for size in (15, 40):
+        learned = langid.learn_profiles(docs, size)
+        profiles = [as_text(p) for p in learned.values()]
+        texts = [*STEMS["en"], "aa bb", "être ou ne pas", "Straße ist schön", "zz", "aaaa aaaa", "and the and the der", "é", "the the the"] * 2
+        langs, scores = langid.RankOrder(learned, size).predict(texts)
+        for text, lang, score in zip(texts, langs, scores):
+            away = plain_distances(text, profiles, size)
+            nearest, second = sorted(away)[:2]
+            assert lang == list(learned)[away.index(nearest)], text
+            assert abs(score - (1 - 0.5 * nearest / second if second else 0.5)) < 1e-9
+
+
+def test_profiles_rank_all_counts(spark):
+    """Counts over all texts, by falling count and then n-gram, rows that are repeated counting each."""
+    rows = [(i, t, "x") for i, t in enumerate(["ab ab", "b", "b", None, "abc"])] + [(9, "q", None)]
+    profile = langid.learn_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 6)["x"]
+    assert as_text(profile) == ranked(sum((plain_ngrams(t) for t in ["ab ab", "b", "b", "abc"]), Counter()), 6)
+
+
+def test_very_common_ngrams_keep_their_order(monkeypatch):
+    """Counts beyond what fits beside the text's number in one key are ranked as they are."""
+    model = langid.RankOrder({"x": np.array(langid.Ngrams(["a"]).decoded(np.unique(langid.Ngrams(["a"]).keys)))}, 8)
+    expected = model.predict(["abca", "b"])
+    runs = langid.runs
+    monkeypatch.setattr(langid, "runs", lambda keys: (runs(keys)[0], runs(keys)[1] + (1 << 23)))
+    got = model.predict(["abca", "b"])
+    assert got[0] == expected[0] and np.allclose(got[1], expected[1])
+
+
 def test_toxicity_separates_held_out_rows(spark, edge_texts):
     rnd = random.Random(2)
     plain, bad = [f"w{i}" for i in range(300)], ["scumbag", "blockhead", "numskull"]
@@ -74,11 +132,60 @@ def test_toxicity_separates_held_out_rows(spark, edge_texts):
     assert toxicity.score_toxicity(docs.where("false"), none).collect() == []
 
 
+def test_isotonic_is_the_least_squares_fit():
+    rnd = random.Random(3)
+    score = np.array([rnd.randrange(12) for _ in range(60)], float)  # with ties
+    y = np.array([float(rnd.random() < s / 12) for s in score])
+    at, rates = toxicity.isotonic(score, y)
+    means = lambda a, b: y[(score >= a) & (score <= b)].mean()
+    for s, r in zip(at, rates):
+        assert abs(r - max(min(means(a, b) for b in at if b >= s) for a in at if a <= s)) < 1e-9
+
+
+def test_first_split_has_the_largest_gain():
+    rnd = np.random.Generator(np.random.PCG64(5))
+    x = np.round(rnd.normal(size=(200, 3)), 1)
+    y = ((x[:, 1] > 0.3) ^ (rnd.random(200) < 0.1)).astype(float)
+    t = toxicity.Trees(rounds=1, depth=1, bins=8).fit(x, y)
+    g, h = y.mean() - y, np.full(200, y.mean() * (1 - y.mean()))
+    value = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    gains = {(j, k): value(x[:, j] < c) + value(x[:, j] >= c) for j in range(3) for k, c in enumerate(t.cuts[j]) if 0 < (x[:, j] < c).sum() < 200}
+    feature, cut, leaves = t.trees[0]
+    best = max(gains.values())
+    assert abs(gains[int(feature[0]), int(cut[0])] - best) < 1e-9
+    right = x[:, feature[0]] >= t.cuts[int(feature[0])][int(cut[0])]
+    for side, leaf in ((~right, leaves[0]), (right, leaves[1])):
+        assert abs(leaf + 0.15 * g[side].sum() / (h[side].sum() + 1)) < 1e-9
+
+
+def test_features_by_plain_counting():
+    text = "YOU sc0mbag! you are a scumbag, Scumbag!! 12 tttt"
+    lexicon = {b"scumbag": 2.0, b"are": 0.5}
+    f = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon)))
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    hits = [lexicon[w.encode()] for w in words if w.encode() in lexicon]
+    at = [i for i, w in enumerate(words) if w.encode() in lexicon]
+    you = [i for i, w in enumerate(words) if w == "you"]
+    n, size, letters = len(words), len(text), sum(c.isalpha() for c in text)
+    assert f["words"] == np.log1p(n) and f["lexicon_count"] == len(hits) and f["lexicon_share"] == len(hits) / n and f["lexicon_distinct"] == 2
+    assert f["weight_sum"] == sum(hits) and f["weight_max"] == 2.0 and f["second_person_share"] == 2 / n
+    assert abs(f["near_second_person"] - max(w / (1 + min(abs(i - k) for k in you)) for i, w in zip(at, hits))) < 1e-12
+    assert f["capitals"] == sum(c.isupper() for c in text) / letters and f["exclamations"] == text.count("!") / size and f["digits"] == 3 / size
+    assert f["obfuscated"] == 2 / n and f["repeats"] == 1 / size  # sc0mbag! and Scumbag!!; tttt is one run of three
+    assert toxicity.features(None, lexicon) == toxicity.features("", lexicon) == [0.0] * len(toxicity.FEATURES)
+
+
+def test_repeated_ids_are_scored_each(spark):
+    docs = spark.createDataFrame([(1, "you idiot"), (1, "fine words"), (1, "fine words"), (None, "x")], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, toxic int"))
+    assert toxicity.score_toxicity(docs, model).count() == 4
+
+
 def test_isotonic_is_monotone():
     rnd = np.random.Generator(np.random.PCG64(0))
     s = rnd.normal(size=500)
     at, rates = toxicity.isotonic(s, (s + rnd.normal(size=500) > 0).astype(float))
-    assert (np.diff(at) > 0).all() and (np.diff(rates) >= 0).all() and 0 < rates[0] < rates[-1] < 1
+    assert (np.diff(at) > 0).all() and (np.diff(rates) >= 0).all() and 0 <= rates[0] < rates[-1] <= 1
 
 
 BASE = ((r"""(?ia:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 12, 2), (r"AKIA[A-Z0-9]+", 18, 0), (r"[0-9a-f]+", 16, 0))
