@@ -4,8 +4,8 @@ A document's set is its distinct word shingles. Documents with equal sets form a
 of each class make bands of ROWS minima; classes that share a band are candidates (at similarity 0.85 all but one pair in 10^10 share one). Of the
 minima only the lowest BITS bits are kept, packed into words; counting equal fields, corrected for fields that are equal by chance, estimates the similarity.
 
-Candidates are confirmed in two rounds. First the pairs of small buckets, and of each larger bucket the pairs of a class with its smallest hub, a
-bucket's first class: those that the estimate leaves are confirmed pair by pair, and linked classes get one label. In most groups of copies that ends
+Candidates are confirmed in two rounds. First the pairs of small buckets, and for classes in larger ones the pairs with a few hubs, the smallest first class of
+its buckets and some that have the same: those that the estimate leaves are confirmed pair by pair, and linked classes get one label. In most groups of copies that ends
 it. Then the larger buckets that hold several labels: their signatures are compared in tiles of bounded size, never two classes of one label, and each tile returns a
 spanning forest of what the estimate leaves. The classes of such a tree meet in tiles again, with their full sets. Chunks of a tile hold either one large label or many
 small ones, so tiles of one label are left out, and a group of any size costs a comparison with its hub for each class, and one with the group for each class that isn't like the hub.
@@ -26,6 +26,8 @@ from .graph import connected_components
 
 MINIMA, ROWS, BITS = 128, 4, 2
 SMALL_BUCKET = 4
+#: Classes that all classes with one smallest hub are compared with: the hub, and others of them.
+HUBS = 4
 #: Classes in a chunk, two of which make a tile: of signatures, and of full sets.
 SIGNATURE_TILE, TILE = 1024, 400
 #: Standard errors by which an estimate may fall short of the threshold.
@@ -173,7 +175,9 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def _forest(linked: np.ndarray, names: list[bytes]) -> pa.Table:
-    """A spanning forest of a graph given as a matrix."""
+    """A spanning forest of a graph given as a matrix: from smaller names on, so that tiles with the same rows give the same trees, and few links in all."""
+    order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+    names, linked = [names[i] for i in order], linked[order][:, order]
     seen = np.zeros(len(names), bool)
     a, b = [], []
     for s in np.flatnonzero(linked.any(axis=1)).tolist():
@@ -259,7 +263,9 @@ def _components(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     # Pairs of small buckets, and of each class with the smallest hub of its larger ones.
     small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("band").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # SMALL_BUCKET keys at most
     pairs = small.select(F.explode(F.expr("flatten(transform(sequence(1, size(keys) - 1), i -> transform(slice(keys, i + 1, size(keys)), y -> named_struct('a', keys[i - 1], 'b', y))))")).alias("p")).select("p.a", "p.b")
-    stars = met.where(F.col("n") > SMALL_BUCKET).groupBy(F.col("key").alias("b")).agg(F.min("hub").alias("a")).where("a <> b").select("a", "b")
+    stars = met.where(F.col("n") > SMALL_BUCKET).groupBy(F.col("key").alias("b")).agg(F.min("hub").alias("a"))
+    hubs = stars.groupBy("a").agg(F.array(F.first("a"), *[F.min_by("b", F.xxhash64("b", F.lit(i))) for i in range(1, HUBS)]).alias("hubs"))
+    stars = stars.join(hubs, "a").select("b", F.explode("hubs").alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     packed = classes.select("key", "packed")
     pairs = pairs.unionByName(stars).distinct()
     pairs = pairs.join(packed.select(F.col("key").alias("a"), F.col("packed").alias("packed_a")), "a").join(packed.select(F.col("key").alias("b"), F.col("packed").alias("packed_b")), "b")
