@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import write_and_reread
+
 #: Frequent English words that carry no meaning of their own.
 STOP_WORDS = "a an and are as at be but by for from has he in is it its not of on or she that the their they this to was we were which with you".split()
 
@@ -16,13 +18,22 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _contains(text: Column, words: list[str], every: bool = True) -> Column:
+    """A cheap test that goes before terms are split: the words occur in the text somewhere."""
+    low, found = F.lower(F.coalesce(text, F.lit(""))), None
+    for w in words:
+        one = low.contains(w)
+        found = one if found is None else found & one if every else found | one
+    return F.lit(every) if found is None else found
+
+
 def has_all(text: Column, words: list[str]) -> Column:
     t = terms(text)
-    return F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(t, w))
+    return _contains(text, words) & F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(t, w))
 
 
 def has_any(text: Column, words: list[str]) -> Column:
-    return F.arrays_overlap(terms(text), F.array(*map(F.lit, words)))
+    return _contains(text, words, every=False) & F.arrays_overlap(terms(text), F.array(*map(F.lit, words)))
 
 
 def has_none(text: Column, words: list[str]) -> Column:
@@ -30,16 +41,16 @@ def has_none(text: Column, words: list[str]) -> Column:
 
 
 def has_prefix(text: Column, prefix: str) -> Column:
-    return F.exists(terms(text), lambda w: w.startswith(prefix))
+    return _contains(text, [prefix]) & F.exists(terms(text), lambda w: w.startswith(prefix))
 
 
 def has_phrase(text: Column, words: list[str], gap: int = 1) -> Column:
     """Whether the words follow one another, each `gap` places after the one before."""
     joined = F.concat(F.lit(" "), F.array_join(terms(text), " "), F.lit(" "))
     if gap == 1:
-        return joined.contains(" " + " ".join(words) + " ")
+        return _contains(text, words) & joined.contains(" " + " ".join(words) + " ")
     between = " (?:[^ ]+ ){%d}" % (gap - 1)
-    return joined.rlike(" " + between.join(map(re.escape, words)) + " ")
+    return _contains(text, words) & joined.rlike(" " + between.join(map(re.escape, words)) + " ")
 
 
 def _equals(word: str):
@@ -56,9 +67,9 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 
 def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each document that holds a query term; a better match has a lower, negative score."""
-    # Bound to a lambda's variable, the terms are split once for all counts.
+    # Bound to a lambda's variable, the terms are split once for all counts; the counts are written, since statistics and scores both read them.
     counts = lambda t: F.struct(F.size(t).alias("dl"), *[F.size(F.filter(t, _equals(q))).alias(f"tf_{i}") for i, q in enumerate(query)])
-    counted = docs.select(id_col, F.inline(F.transform(F.array(terms(F.col(text_col))), counts)))
+    counted = write_and_reread(docs.select(id_col, F.inline(F.transform(F.array(terms(F.col(text_col))), counts))), "term-counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(query))])
     scored = counted.where(" OR ".join(f"tf_{i} > 0" for i in range(len(query)))).join(F.broadcast(stats))  # one row
     parts = [F.log(1 + (F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5)) * F.col(f"tf_{i}") * (k1 + 1) / (F.col(f"tf_{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) for i in range(len(query))]
