@@ -113,10 +113,10 @@ def exact_dedup(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
         return index.runs().withColumn("keep_id", F.col("doc_id")).select("doc_id", "keep_id", F.lit(1).cast("bigint").alias("group_size"), kept, told)
     # Byte verification: of each suspected text a task sends one copy, however many it holds.
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(6, (n_hits * BITS_EACH - 1).bit_length()))
-    # The running number keeps Spark from working out the digest anew for each probe.
+    # The running number, which is asked for below, keeps Spark from working out the digest anew for each probe.
     probed = rows.select("norm", "digest", F.monotonically_increasing_id().alias("number"))
     suspects = probed.where(holds(filter_of(hits, bits), F.col("digest"), bits))
-    texts = write_and_reread(suspects.groupBy("digest", "norm").agg(F.count("*").alias("same")).select("digest", "same"), "verified")
+    texts = write_and_reread(suspects.groupBy("digest", "norm").agg(F.count("*").alias("same"), F.max("number").alias("last")).select("digest", "same", "last"), "verified")
     apart = hits.join(texts, "digest").where("same < rows").select("digest").distinct()
     entries = hits.select("digest", "keep_id", F.col("rows").alias("group_size"))
     out = index.runs().join(entries, "digest", "left")
