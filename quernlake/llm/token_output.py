@@ -40,7 +40,7 @@ BLOCK_IDS = 1 << 17
 #: Bytes of text (as Parquet) that one output file takes.
 FILE_BYTES = 8 << 20
 #: Bytes of text whose fragments are told apart at once.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
 #: Files up to which their totals are broadcast; beyond, they are joined.
 MOST_FILES_BROADCAST = 100_000
 BLOCK_SCHEMA = "part int, block int, start_in_part bigint, doc_ids binary, counts binary, n_ids bigint, words binary"
