@@ -101,9 +101,7 @@ def knn_l2(read):
 @query(f"WITH q AS (SELECT vec_id AS query_id, {_VEC} AS q FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, list_cosine_distance({_VEC}, q) AS distance FROM embeddings, q) SELECT query_id, count(*) AS n FROM d WHERE distance < 0.9 GROUP BY query_id")
 def cosine_within(read):
     e = read("embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    near = vector.with_each(e, q).where(vector.cosine_distance(F.col("embedding"), F.col("q")) < 0.9)
-    return near.groupBy("query_id").agg(F.count("*").alias("n"))
+    return vector.count_within(e, e.where("vec_id % 100 = 0"), 0.9, "vec_id", "embedding")
 
 
 @query(f"SELECT vec_id, round(list_inner_product({_VEC}, {_VEC}), 6) AS ip, round(list_sum(list_transform({_VEC}, lambda x: abs(x - 0.5))), 6) AS l1 FROM embeddings")

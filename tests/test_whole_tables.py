@@ -44,23 +44,34 @@ def test_streams_count_all_rows_of_many_files(spark, tmp_path, name):
     assert Counter(map(tuple, df.collect())) == Counter(relation.fetchall())
 
 
-def test_nearest_takes_more_queries_than_a_block(spark):
+def plain_distance(metric, a, b):
+    inner = lambda x, y: sum(p * q for p, q in zip(x, y))
+    return {"l2": lambda: math.dist(a, b), "l1": lambda: sum(abs(x - y) for x, y in zip(a, b)), "inner": lambda: -inner(a, b), "cosine": lambda: 1 - inner(a, b) / math.sqrt(inner(a, a) * inner(b, b))}[metric]()
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1", "inner", "cosine"])
+@pytest.mark.parametrize("most_queries", [7, 1000])
+def test_nearest_and_counts_by_brute_force(spark, metric, most_queries, monkeypatch):
+    """In one block and in many; a vector that others repeat, and one that is null."""
+    monkeypatch.setattr(vector, "PACK_ROWS", 16)
     rnd = random.Random(13)
-    vectors = {i: [rnd.random(), rnd.random()] for i in range(200)}
-    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
-    queries = rows.where("vec_id % 2 = 0")
-    got = vector.nearest(rows, queries, 3, "vec_id", "embedding", most_queries=7)
-    expected = [(q, i, r) for q in range(0, 200, 2) for r, i in enumerate(sorted(vectors, key=lambda i: (math.dist(vectors[q], vectors[i]), i))[:3], 1)]
+    vectors = {i: [rnd.random() + 0.1, rnd.random()] for i in range(150)} | {i: [0.5, 0.5] for i in range(150, 160)}
+    rows = spark.createDataFrame([*vectors.items(), (999, None)], "vec_id long, embedding array<double>").repartition(3)
+    queries = rows.where("vec_id % 3 = 0")
+    got = vector.nearest(rows, queries, 3, "vec_id", "embedding", metric, most_queries)
+    ranked = {q: sorted(vectors, key=lambda i: (round(plain_distance(metric, vectors[q], vectors[i]), 12), i)) for q in range(0, 160, 3)}
+    expected = [(q, i, r) for q, order in ranked.items() for r, i in enumerate(order[:3], 1)]
     assert sorted(map(tuple, got.select("query_id", "vec_id", "rank").collect())) == sorted(expected)
+    limit = {"l2": 0.2, "l1": 0.25, "inner": -0.6, "cosine": 0.01}[metric]
+    counts = {q: sum(plain_distance(metric, vectors[q], v) < limit for v in vectors.values()) for q in ranked}
+    found = vector.count_within(rows, queries, limit, "vec_id", "embedding", metric, most_queries)
+    assert dict(map(tuple, found.collect())) == {q: n for q, n in counts.items() if n}
 
 
-def test_query_blocks_are_bounded_and_not_broadcast(spark):
-    rows, queries = spark.range(50), spark.range(100).withColumnRenamed("id", "q")
-    pairs = vector.with_each(rows, queries, 7)
-    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
-    in_tasks = pairs.groupBy(F.spark_partition_id()).agg(F.countDistinct("q").alias("n"))
-    assert pairs.distinct().count() == pairs.count() == 5000
-    assert in_tasks.agg(F.max("n")).first()[0] <= 7 + queries.rdd.getNumPartitions()
+def test_many_queries_are_not_broadcast(spark):
+    rows = spark.range(100).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    plan = lambda most: vector.nearest(rows, rows, 1, "vec_id", "embedding", most_queries=most)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan(100) and "BroadcastExchange" not in plan(99)
 
 
 def test_index_has_rare_terms_and_tells_positions(spark, tmp_path):
