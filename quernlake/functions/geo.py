@@ -33,6 +33,32 @@ def polygon_area(xs: Column, ys: Column) -> Column:
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
 
 
+def line_length(xs: Column, ys: Column) -> Column:
+    """Length of a line through points, the perimeter of a closed ring."""
+    steps = F.transform(F.sequence(F.lit(1), F.size(xs) - 1), lambda i: F.hypot(F.element_at(xs, i + 1) - F.element_at(xs, i), F.element_at(ys, i + 1) - F.element_at(ys, i)))
+    return F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
+
+
+def polygon_centroid(xs: Column, ys: Column) -> Column:
+    """The centre of mass of a closed ring's area, as a struct of x and y; null if it has none."""
+    cross = lambda i: F.element_at(xs, i) * F.element_at(ys, i + 1) - F.element_at(xs, i + 1) * F.element_at(ys, i)
+    places = F.sequence(F.lit(1), F.size(xs) - 1)
+    total = lambda each: F.aggregate(F.transform(places, each), F.lit(0.0), lambda s, v: s + v)
+    twice = total(cross)
+    mean = lambda c: total(lambda i: (F.element_at(c, i) + F.element_at(c, i + 1)) * cross(i)) / (3 * F.when(twice != 0, twice))
+    return F.struct(mean(xs).alias("x"), mean(ys).alias("y"))
+
+
+def bounds(xs: Column, ys: Column) -> Column:
+    """The smallest box around points."""
+    return F.struct(F.array_min(xs).alias("x_min"), F.array_min(ys).alias("y_min"), F.array_max(xs).alias("x_max"), F.array_max(ys).alias("y_max"))
+
+
+def bounds_overlap(a: Column, b: Column) -> Column:
+    """Whether two boxes share a point: the test that goes before an exact one."""
+    return (a["x_min"] <= b["x_max"]) & (b["x_min"] <= a["x_max"]) & (a["y_min"] <= b["y_max"]) & (b["y_min"] <= a["y_max"])
+
+
 def within_polygon(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     """Whether a point lies inside a closed ring: an odd number of edges lies to its right."""
     n = F.size(xs) - 1

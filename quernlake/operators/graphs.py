@@ -41,3 +41,21 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
     return vertices.select("id").join(out, "id", "left").join(into, "id", "left").fillna(0, ["out_degree", "in_degree"])
+
+
+def set_properties(vertices: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
+    """The vertices with properties set, or added, where the condition holds; elsewhere a new property is null."""
+    for name, value in values.items():
+        old = F.col(name) if name in vertices.columns else F.lit(None)
+        vertices = vertices.withColumn(name, F.when(F.coalesce(where, F.lit(False)), value).otherwise(old))
+    return vertices
+
+
+def remove(vertices: DataFrame, edges: DataFrame, where: Column, detach: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges without the vertices for which the condition holds, and without their edges; not detached, vertices that have edges stay."""
+    gone = vertices.where(where).select("id")
+    if not detach:
+        gone = gone.join(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))), "id", "left_anti")
+    for end in ("src", "dst"):
+        edges = edges.join(gone.withColumnRenamed("id", end), end, "left_anti")
+    return vertices.join(gone, "id", "left_anti"), edges

@@ -38,9 +38,16 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, out.select("user_id", "event_type", "ts")).select("user_id", "event_type")
 
 
-QUERIES = {"stream_tumbling": stream_tumbling, "stream_sessions": stream_sessions, "stream_first_seen": stream_first_seen}
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed windows of two hours, one beginning with each hour."""
+    out = ev.sliding(_events(spark, sf_dir), "ts", "2 hours", "1 hour", "10 minutes", ["event_type"], F.count("*").alias("n"))
+    return _run(spark, out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+QUERIES = {"stream_tumbling": stream_tumbling, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "stream_first_seen": stream_first_seen}
 ORACLE_SQL = {
     "stream_tumbling": "SELECT * FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
+    "stream_sliding": "SELECT * FROM (SELECT h::TIMESTAMP AS start, event_type, count(*) AS n FROM (SELECT date_trunc('hour', ts) - to_hours(k) AS h, event_type FROM events, (VALUES (0), (1)) AS s(k)) GROUP BY 1, 2) WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
     "stream_sessions": """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)

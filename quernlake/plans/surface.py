@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import crypto, dates, strings, vector
-from ..operators import ordered, queue, rows, views
+from ..functions import crypto, dates, geo, hashids, ids, strings, vector
+from ..operators import graphs, ordered, queue, rows, views
+from ..operators import tables as changed
 from ..sources import sql as statements
 from .relational import tables
 
@@ -262,3 +263,53 @@ def queue_cycle(read, spark):
     sent = queue.send(empty, read("events").select(F.col("event_id").cast("string").alias("message"), "event_id"), now, ["event_id"])
     _, left = queue.pop(sent, now, 3)
     return left.select("msg_id", F.col("message").cast("bigint").alias("event_id"))
+
+
+# bits, ids, shapes, graphs, rows that statements return
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: CASE WHEN (x > 0) <> (i % 2 = 0) THEN 1 ELSE 0 END))::INTEGER AS hamming, round(1 - list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 AND i % 2 = 0 THEN 1 ELSE 0 END)) / list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 OR i % 2 = 0 THEN 1 ELSE 0 END)), 9) AS jaccard FROM embeddings")
+def vector_bits(read, spark):
+    bits, other = F.transform("embedding", lambda x: (x > 0).cast("int")), F.transform("embedding", lambda x, i: ((i + 1) % 2 == 0).cast("int"))
+    return read("embeddings").select("vec_id", vector.hamming_distance(bits, other).cast("int").alias("hamming"), F.round(vector.jaccard_distance(bits, other), 9).alias("jaccard"))
+
+
+@query("SELECT c_custkey, c_custkey AS back, true AS longer FROM customer")
+def short_ids(read, spark):
+    c = read("customer").select("c_custkey", hashids.encode(F.col("c_custkey"), "salt", 8).alias("id"))
+    return c.select("c_custkey", hashids.decode(F.col("id"), "salt", 8).alias("back"), (F.length("id") >= 8).alias("longer"))
+
+
+@query("SELECT n_nationkey, true AS well_formed, count(DISTINCT n_name) OVER () AS n FROM nation")
+def uuid_sha1(read, spark):
+    n = read("nation").select("n_nationkey", ids.uuid5(F.col("n_name")).alias("u"))
+    total = n.agg(F.countDistinct("u").alias("n"))  # one row
+    return n.join(F.broadcast(total)).select("n_nationkey", F.col("u").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-5[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$").alias("well_formed"), "n")
+
+
+@query("SELECT p_partkey, p_size * 2.0::DOUBLE AS area, 2 * (p_size + 2.0::DOUBLE) AS around, p_size / 2.0::DOUBLE AS x, 1.0::DOUBLE AS y, p_size >= 10 AS meets FROM part")
+def polygon_measures(read, spark):
+    """Rectangles of a width that the row says and a height of 2."""
+    w, zero, two = F.col("p_size").cast("double"), F.lit(0.0), F.lit(2.0)
+    xs, ys = F.array(zero, w, w, zero, zero), F.array(zero, zero, two, two, zero)
+    box = geo.bounds(F.array(F.lit(10.0), F.lit(20.0)), F.array(F.lit(1.0), F.lit(9.0)))
+    centre = geo.polygon_centroid(xs, ys)
+    return read("part").select("p_partkey", geo.polygon_area(xs, ys).alias("area"), geo.line_length(xs, ys).alias("around"), centre["x"].alias("x"), centre["y"].alias("y"), geo.bounds_overlap(geo.bounds(xs, ys), box).alias("meets"))
+
+
+@query("SELECT 'c' || c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN 'rich' END AS kind, (c_nationkey <> 3)::INTEGER AS edges FROM customer WHERE c_custkey % 10 <> 0")
+def graph_edit(read, spark):
+    """Properties set, vertices deleted with their edges: what is left, and how many edges each vertex has."""
+    c = read("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), "c_custkey", "c_acctbal", "c_nationkey")
+    n = read("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey"))
+    edges = c.select(F.col("id").alias("src"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst"))
+    vertices = graphs.set_properties(c.unionByName(n, allowMissingColumns=True), F.col("c_acctbal") > 5000, {"kind": F.lit("rich")})
+    vertices, edges = graphs.remove(vertices, edges, (F.col("c_custkey") % 10 == 0) | (F.col("n_nationkey") == 3))
+    left = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    return vertices.where("c_custkey IS NOT NULL").join(left, "id", "left").select("id", "kind", F.coalesce("n", F.lit(0)).cast("int").alias("edges"))
+
+
+@query("SELECT 'deleted' AS what, c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'inserted', c_custkey + 1000000, NULL FROM customer WHERE c_custkey % 50 = 0")
+def returned_rows(read, spark):
+    c = read("customer").select("c_custkey", "c_acctbal")
+    new = c.where("c_custkey % 50 = 0").select((F.col("c_custkey") + 1_000_000).alias("c_custkey"))
+    gone = changed.deleted_rows(c, F.col("c_acctbal") < 0).select(F.lit("deleted").alias("what"), "*")
+    return gone.unionByName(changed.inserted_rows(c, new).select(F.lit("inserted").alias("what"), "*"))

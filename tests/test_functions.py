@@ -55,12 +55,10 @@ def test_polygon(spark):
     assert one(spark, geo.within_polygon(F.lit(5.0), F.lit(1.0), xs, ys)) is False
 
 
-def test_nearest_checks_its_queries(spark):
+def test_nearest_of_one_query(spark):
     v = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "id long, v array<double>")
     got = vector.nearest(v, v.where("id = 0"), 2, "id", "v").collect()
     assert sorted((r.id, r["rank"]) for r in got) == [(0, 1), (1, 2)]
-    with pytest.raises(ValueError):
-        vector.nearest(v, v, 2, "id", "v", most_queries=3)
 
 
 def test_change_feed_in_steps(spark):
