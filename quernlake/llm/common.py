@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from ..sources.scratch import scratch_dir, scratch_path, write_and_reread
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for intermediate tables: spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, a laptop) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["ALNUM", "NON_SPACE", "ascii_lower", "char_table", "held_out", "input_bytes", "mix64", "ngram_hashes", "scratch_dir", "scratch_path", "word_hashes", "write_and_reread"]
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def write_and_reread(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cut the lineage of df: write it as Parquet in the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def input_bytes(df: DataFrame) -> int:

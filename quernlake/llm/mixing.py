@@ -10,6 +10,8 @@ from .common import write_and_reread
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Consecutive ids that are numbered together; a source with many documents of one size is numbered in such pieces.
 ID_RANGE = 4096
+#: Sources up to which their targets are broadcast; beyond, they are joined.
+MOST_SOURCES_BROADCAST = 100_000
 
 
 def word_count(text):
@@ -60,8 +62,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     by_size = by_size.select(F.col("source").alias("s1"), F.col("size").alias("z1"), F.coalesce(F.sum("rows").over(up_to), F.lit(0)).alias("smaller"))
     within = Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("range").alias("r2"), F.coalesce(F.sum("rows").over(within), F.lit(0)).alias("earlier"))
-    targets = water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    cells = cells.join(by_size, F.col("s2").eqNullSafe(F.col("s1")) & (F.col("z2") == F.col("z1"))).join(F.broadcast(targets), F.col("s2").eqNullSafe(F.col("source")))
+    targets = write_and_reread(water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    if targets.count() <= MOST_SOURCES_BROADCAST:
+        targets = F.broadcast(targets)
+    cells = cells.join(by_size, F.col("s2").eqNullSafe(F.col("s1")) & (F.col("z2") == F.col("z1"))).join(targets, F.col("s2").eqNullSafe(F.col("source")))
     cells = cells.select("s2", "z2", "r2", (F.col("smaller") + F.col("earlier")).alias("before"), "source_size", "target")
     numbered = (sized if carry else rows).withColumn("i", F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("doc_id")) - 1)
     j = numbered.join(cells, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("range") == F.col("r2")))

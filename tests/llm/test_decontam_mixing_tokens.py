@@ -91,6 +91,15 @@ def test_mix_meets_targets(spark, words):
     assert sorted((r.doc_id or -1, r.copies) for r in carried) == sorted((r.doc_id or -1, r.copies) for r in got)
 
 
+def test_mix_of_columns_with_its_own_names_and_of_many_sources(spark, words, monkeypatch):
+    rows = [(i, " ".join(words[: 1 + i % 9]), f"s{i % 4}" if i % 5 else None, "mine", i, "r", 1.5) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string, size long, range string, target double").repartition(3)
+    got = mixing.mix(docs, carry=True).collect()
+    assert {tuple(r["row"]) for r in got} == set(rows) and sum(r["copies"] for r in got) > 0
+    monkeypatch.setattr(mixing, "MOST_SOURCES_BROADCAST", 1)
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix(docs).collect()) == sorted((r.doc_id, r.taken) for r in got)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 2**64 - 1), st.integers(0, 60_000), st.just(0)), max_size=1500))
 def test_simple8b_round_trip(ids):

@@ -64,6 +64,13 @@ def test_near_dedup_without_rows_or_ids(spark):
     assert got == sorted([(None, 4, False), (4, 4, True), (None, None, False), (2, 2, True)], key=str)
 
 
+def test_near_dedup_judges_rows_that_share_an_id(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven"
+    docs = spark.createDataFrame([(3, b, "p"), (5, a, "q"), (5, b, "r"), (5, a, "s")], "doc_id long, text string, key string")
+    got = sorted((r.key, r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(docs.withColumnRenamed("key", "tag"), 3, 85, carry=("tag",)).withColumnRenamed("tag", "key").collect())
+    assert got == [("p", 3, 3, True), ("q", 5, 5, True), ("r", 5, 3, False), ("s", 5, 5, True)]
+
+
 def test_estimate_follows_the_similarity(spark):
     rnd = np.random.Generator(np.random.PCG64(1))
     pool = rnd.integers(0, 1 << 63, 3000, np.uint64)
@@ -114,6 +121,15 @@ def test_remove_repeats(spark, edge_texts, words, length, buckets, hot, monkeypa
     assert sorted(map(tuple, suffix_dedup.remove_repeats(docs, length, buckets=buckets).collect()), key=str) == brute_repeats(rows, length)
 
 
+def test_remove_repeats_in_a_text_beyond_a_block(spark):
+    """A text longer than a block is whole: what repeats at its end is found."""
+    rnd = np.random.Generator(np.random.PCG64(6))
+    long = bytes(rnd.integers(97, 123, suffix_dedup.BLOCK_BYTES + 100_000, dtype=np.uint8)).decode()
+    docs = spark.createDataFrame([(1, long), (2, "short " + long[-80:]), (3, long[:60])], "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(docs, output="spans").collect()))
+    assert got == [(2, 6, 86), (3, 0, 60)]
+
+
 def test_remove_repeats_spans_and_empty(spark):
     docs = spark.createDataFrame([(1, "x" * 60), (2, "ab" + "x" * 55 + "c")], "doc_id long, text string")
     assert list(map(tuple, suffix_dedup.remove_repeats(docs, output="spans").collect())) == [(2, 2, 57)]
