@@ -83,3 +83,17 @@ def test_index_has_rare_terms_and_tells_positions(spark, tmp_path):
     one, other = index(["a rare b b", "a"]), index(["rare a b b", "a"])
     assert {t: v[:2] for t, v in one.items()} == {"a": (2, 2), "b": (1, 2), "rare": (1, 1)}
     assert one["b"] == other["b"] and one["a"] != other["a"] and one["rare"] != other["rare"]
+
+
+def test_lateral_top_is_numbered_in_order(spark, tmp_path):
+    """Ties by price, prices and keys that are null, a customer twice; the numbering itself asks for the order, as a shuffle keeps none."""
+    spark.createDataFrame([(1,), (1,), (2,), (3,), (4,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(7, 2, 5.0), (6, 2, 5.0), (8, 2, 5.0), (9, 1, None), (10, 1, 1.0), (None, 3, 2.0), (11, 3, 2.0), (12, 3, 2.0), (13, 9, 1.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = registry.QUERIES["lateral_top"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(con.sql(registry.ORACLE_SQL["lateral_top"]).fetchall(), key=str)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(c_custkey" in plan and "o_totalprice" in plan.split("row_number() windowspecdefinition(")[1].split("specifiedwindowframe")[0]
