@@ -266,5 +266,35 @@ def test_network_finds_kinds_that_it_has_not_seen(spark):
     assert got[0] == [("network", 4, 5 + len(path) + 40)] and got[1] == [("network", 0, len(new[1]))] and got[3:] == [[], []]
 
 
+def test_network_is_trained_on_all_findings(spark, monkeypatch):
+    """More of each label than the former sample took; in several shards and slices too, which part the rows and lose none."""
+    rnd = random.Random(2)
+    key = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    docs = table(spark, [f"{key(16, 'aeinrst')} {key(5, 'aeinrst')} and {key(32, '0123456789abcdef')} is" for _ in range(2_300)])
+    findings = secret_scan.labelled_findings(docs)
+    assert {r["y"]: r["count"] for r in findings.groupBy("y").count().collect()} == {0: 2_300, 1: 2_300}
+    monkeypatch.setattr(secret_scan, "SHARD_ROWS", 1_200)
+    monkeypatch.setattr(secret_scan, "SLICE_ROWS", 500)
+    rows, whole = [], np.average
+    monkeypatch.setattr(secret_scan.np, "average", lambda a, axis, weights: (rows.append(list(weights)), whole(a, axis, weights))[1])
+    model = secret_scan.train(findings)
+    held = findings.where(secret_scan._hash(1, 5) == 0).count()
+    assert len(rows) > 1 and all(len(r) > 1 for r in rows) and sum(map(sum, rows)) == 4_600 - held
+    x, y = secret_scan._rows(findings.toArrow())
+    found = model.probability(x) >= model.threshold
+    assert found[y == 1].mean() >= 0.97 and found[y == 0].mean() <= 0.05
+    again = secret_scan.train(findings)
+    assert again.threshold == model.threshold and all((again.w[k] == model.w[k]).all() for k in model.w)
+
+
+def test_calibration_by_counts_is_that_by_rows():
+    rnd = np.random.Generator(np.random.PCG64(3))
+    z, y = np.round(rnd.normal(0, 2, 500)), (np.arange(500) % 3 == 0).astype(float)
+    one, other = secret_scan.CharCnn().calibrate_counts(z, y, np.ones(500)), secret_scan.CharCnn()
+    pairs, n = np.unique(np.stack([z, y]), axis=1, return_counts=True)
+    other.calibrate_counts(pairs[0], pairs[1], n)
+    assert np.allclose([one.slope, one.shift, one.threshold], [other.slope, other.shift, other.threshold])
+
+
 def test_base_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
