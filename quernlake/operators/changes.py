@@ -79,16 +79,17 @@ def in_list_order(rows: DataFrame, key: str, position: str = "position") -> Data
     """Positions (from 1) of rows that each name the key before them; the first one names none. Rows that no chain leads to are left out.
 
     By pointer jumping: each round doubles how far every row has looked back, so rounds grow with the logarithm of the rows.
+    Each round joins a table of all rows, which would be broadcast in every one of them while its packed files are small: the joins are shuffled.
     """
     at = write_and_reread(rows.select(F.col(key).alias("_k"), F.col(AFTER).alias("_to"), F.lit(1).cast("bigint").alias("_steps")), "positions")
     for _ in range(64):  # 2 ** 64 rows
         if at.where("_to IS NOT NULL").isEmpty():
             break
-        on = at.select(F.col("_k").alias("_to"), F.col("_to").alias("_next"), F.col("_steps").alias("_more"))
+        on = at.select(F.col("_k").alias("_to"), F.col("_to").alias("_next"), F.col("_steps").alias("_more")).hint("merge")
         done = at.where("_to IS NULL")
         further = at.where("_to IS NOT NULL").join(on, "_to").select("_k", F.col("_next").alias("_to"), (F.col("_steps") + F.col("_more")).alias("_steps"))
         at = write_and_reread(done.unionByName(further), "positions")
-    return rows.join(at.where("_to IS NULL").select(F.col("_k").alias(key), F.col("_steps").alias(position)), key)
+    return rows.join(at.where("_to IS NULL").select(F.col("_k").alias(key), F.col("_steps").alias(position)).hint("merge"), key)
 
 
 def latest_by_key(messages: DataFrame, keys: list[str], lsn: str = "lsn", seq: str = "seq", op: str = "op") -> DataFrame:

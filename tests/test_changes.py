@@ -189,3 +189,16 @@ def test_scratch_folder_must_be_shared(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch_dir(Elsewhere)
+
+
+def test_list_order_broadcasts_no_round(spark, tmp_path):
+    """However small the packed tables are, no round sends one through the driver."""
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id") > 0, F.col("id") - 1).alias(changes.AFTER))
+    plans, kept = [], changes.write_and_reread
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(changes, "write_and_reread", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+        got = changes.in_list_order(rows, "k")
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+    assert {r["k"]: r["position"] for r in got.collect()} == {k: k + 1 for k in range(n)}
