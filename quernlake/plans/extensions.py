@@ -397,7 +397,7 @@ def inverted_index(read):
 @query(f"WITH w AS (SELECT doc_id, {_WORDS} AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM w), p AS (SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM e GROUP BY 1, 2) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, sum(('0x' || substr(md5(doc_id::VARCHAR || ':' || tf::VARCHAR || ':' || positions), 1, 8))::BIGINT)::BIGINT AS digest FROM p GROUP BY term")
 def inverted_index_whole(read):
     """Every term, with a digest of its postings: the sum of a hash of each one's id, tf and positions."""
-    told = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("tf").cast("string"), F.array_join(F.col("positions").cast("array<string>"), ","))
+    told = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("tf").cast("string"), F.lit(":"), F.array_join(F.col("positions").cast("array<string>"), ","))
     hashed = F.conv(F.substring(F.md5(told), 1, 8), 16, 10).cast("bigint")
     return search.postings(read("documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum(hashed).alias("digest"))
 

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernlake.functions import vector
+from quernlake.operators import search
 from quernlake.plans import registry
 
 
@@ -97,3 +98,20 @@ def test_lateral_top_is_numbered_in_order(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=str) == sorted(con.sql(registry.ORACLE_SQL["lateral_top"]).fetchall(), key=str)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(c_custkey" in plan and "o_totalprice" in plan.split("row_number() windowspecdefinition(")[1].split("specifiedwindowframe")[0]
+
+
+@pytest.mark.parametrize("words", [1, 7, 1 << 20])
+def test_postings_are_made_where_rows_are_read(spark, tmp_path, words, monkeypatch):
+    """Ids that several rows share, or that are null; texts that are null or empty; no word goes through a shuffle where ids are unique."""
+    monkeypatch.setattr("quernlake.operators.search.GROUP_WORDS", words)
+    texts = [(1, "b a b"), (1, "a c"), (2, None), (3, ""), (4, "É é a"), (None, "a b"), (None, "b"), (5, "c c c c"), (6, "a")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    relation = con.sql(registry.ORACLE_SQL["inverted_index_whole"])
+    df = registry.QUERIES["inverted_index_whole"](spark, str(tmp_path)).select(relation.columns)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(relation.fetchall(), key=str)
+    unique = spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, text string").coalesce(1)
+    got = search.postings(unique)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 1, [1]), ("b", 1, 1, [2]), ("b", 2, 1, [1])]
